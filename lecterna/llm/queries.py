@@ -20,3 +20,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.vectors import similar_pairs
 
     return similar_pairs(spark.read.parquet(f"{d}/segment.parquet"), "vec_id", "sv_feat", k=5, least=0.9)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.voices import voices_found
+
+    return voices_found(spark.read.parquet(f"{d}/segment.parquet"), "vec_id", "sv_feat", least=0.6, least_size=3)
+
+
+@query
+def p5_voices(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.voices import described
+
+    return described(spark.read.parquet(f"{d}/segment.parquet"), "vec_id", "sv_feat", least=0.6)
