@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lecterna.plans.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(ship(spark), d)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -34,3 +41,18 @@ def p5_voices(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.voices import described
 
     return described(spark.read.parquet(f"{d}/segment.parquet"), "vec_id", "sv_feat", least=0.6)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.turns import turns
+
+    t = turns(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/segment.parquet"), text=False)
+    return t.select("stream_id", "first_idx", "last_idx")
+
+
+@query
+def p3_turns(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.turns import turns
+
+    return turns(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/segment.parquet"), text=True)
