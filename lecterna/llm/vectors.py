@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lecterna.llm import hashing as H
+from lecterna.plans.lineage import written
 
 #: Rows of a bucket that one task compares; larger buckets are cut into a grid.
 BLOCK = 40_000
 #: At most so many buckets can exceed the cap, as the cap is copies * n / MOST_HEAVY at least.
 MOST_HEAVY = 10_000
+#: Pairs of which so many may be sent to every task: 16 bytes each.
+SMALL = 300_000
 
 CELLS = "cell long, side int, id long, code binary"
 
@@ -140,7 +143,46 @@ def by_cell(parts: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarr
     return parts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, least: float = -1.0, dim: int = 192, tables: int = 3, functions: int = 14, width: float = 4.0, probes: int = 1) -> DataFrame:
+def cosine(x: Column, y: Column) -> Column:
+    """Cosine of two arrays in double precision."""
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, v: s + v)
+    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+
+
+def measured(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """``pairs`` (id, other, ...) with their cosine in full precision as
+    ``similarity``. Up to ``SMALL`` pairs are sent to the vectors; beyond that
+    both are shuffled."""
+    one = base.dropDuplicates(["id"]) if pairs.count() > SMALL else None
+    if one is not None:
+        out = pairs.join(one.withColumnRenamed("vec", "x"), "id").join(one.select(F.col("id").alias("other"), F.col("vec").alias("y")), "other")
+    else:
+        ends = F.broadcast(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct())
+        some = base.join(ends, "id").groupBy("id").agg(F.first("vec").alias("vec"))
+        out = pairs.join(some.withColumnRenamed("vec", "x"), "id").join(some.select(F.col("id").alias("other"), F.col("vec").alias("y")), "other")
+    return out.withColumn("similarity", cosine(F.col("x"), F.col("y"))).drop("x", "y")
+
+
+def candidates(df: DataFrame, *, k: int, least: float, dim: int, tables: int, functions: int, width: float, probes: int) -> DataFrame:
+    """(id, other, est, err): of every vector of ``df`` (id, vec) the best
+    candidates of all tables, twice as many as are wanted, by 8-bit similarity."""
+    n = df.count()
+    plan = H.plan_for(n, dim, tables=tables, functions=functions, width=width, probes=probes, bits=8)
+
+    def kernel(ids: np.ndarray, codes: np.ndarray, side: np.ndarray | None) -> list[pa.Array]:
+        a, b, v, e = H.top_pairs(ids, codes, 2 * k, least, side)
+        return [pa.array(a), pa.array(b), pa.array(v), pa.array(e)]
+
+    found = by_cell(cells(df, plan, n), kernel, ["id", "other", "est", "err"], "id long, other long, est float, err float", dim, 8)
+    best = found.groupBy("id", "other").agg(F.max("est").alias("est"), F.max("err").alias("err"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("est"), "other"))
+    return best.withColumn("nth", nth).where(F.col("nth") <= 2 * k)
+
+
+HOW = {"dim": 192, "tables": 2, "functions": 14, "width": 6.0, "probes": 1}
+
+
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, least: float = -1.0, **how: object) -> DataFrame:
     """(id, other, similarity, rank): for every usable vector of ``df`` its
     ``k`` most similar other vectors of cosine ``least`` or more.
 
@@ -148,27 +190,39 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, lea
     all zero, and rows with a null id, have no row in the result. Repeated ids
     count once. Ties go to the smaller id; equal vectors are each other's
     neighbours at similarity 1. An empty table gives an empty result, and other
-    columns of ``df`` are ignored whatever their names. Similarities are
-    evaluated over all values in 16-bit fixed point (error below 1e-5) and
-    rounded to five places. Recall against brute force grows with the
-    similarity; the README has the measured figures.
+    columns of ``df`` are ignored whatever their names. The 2k best candidates of
+    a vector by 8-bit similarity are ranked by their full cosine; recall against
+    brute force grows with the similarity (the README has measured figures).
     """
+    h = {**HOW, **how}
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    n = base.count()
-    plan = H.plan_for(n, dim, tables=tables, functions=functions, width=width, probes=probes, bits=16)
-
-    def kernel(ids: np.ndarray, codes: np.ndarray, side: np.ndarray | None) -> list[pa.Array]:
-        a, b, v = H.top_pairs(ids, codes, k, least - 1e-5, side)
-        return [pa.array(a), pa.array(b), pa.array(v.astype(np.float64))]
-
-    found = by_cell(cells(base, plan, n), kernel, ["id", "other", "similarity"], "id long, other long, similarity double", dim, 16)
-    best = found.where(F.col("similarity") >= least).groupBy("id", "other").agg(F.max(F.round("similarity", 5)).alias("similarity"))
+    cand = written(candidates(base, k=k, least=least, **h).select("id", "other"), "candidates")
+    true = measured(cand, base).where(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return true.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "similarity", "rank")
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, least: float = 0.9, **how: object) -> DataFrame:
     """(vec_id_a, vec_id_b): pairs of which one is among the other's ``k``
-    most similar vectors, at a cosine of ``least`` or more, each pair once."""
-    near = similar_vectors(df, id_col, vec_col, k=k, least=least, **how)
+    most similar vectors, at a cosine of ``least`` or more, each pair once.
+
+    As ``similar_vectors``, but the full cosine is only evaluated where the
+    8-bit similarity, with its error, doesn't settle whether the pair reaches
+    ``least`` or stands among the ``k``; nothing else about a pair is returned.
+    """
+    h = {**HOW, **how}
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    cand = candidates(base, k=k, least=least, **h)
+    mine = Window.partitionBy("id")
+    # the estimate at place k and the one after it; a gap below their errors leaves the place open
+    at = lambda n: F.max(F.when(F.col("nth") == n, F.col("est"))).over(mine)
+    cand = cand.withColumn("here", at(k)).withColumn("after", at(k + 1))
+    open_rank = F.col("after").isNotNull() & (F.col("here") - F.col("after") < 2 * F.col("err")) & (F.abs(F.col("est") - F.col("here")) < 2 * F.col("err"))
+    cand = written(cand.select("id", "other", "est", "nth", (open_rank | (F.abs(F.col("est") - least) <= F.col("err"))).alias("open")), "candidates")
+    true = measured(cand.where("open").select("id", "other", "est", "nth"), base).where(F.col("similarity") >= least)
+    settled = cand.where(~F.col("open")).select("id", "other", "nth", F.col("est").cast("double").alias("similarity"))
+    # in a list with an open place, the settled ones above it stay above, those below stay below
+    every = settled.select("id", "other", "similarity").unionByName(true.select("id", "other", "similarity"))
+    rank = F.row_number().over(mine.orderBy(F.desc("similarity"), "other"))
+    near = every.withColumn("rank", rank).where(F.col("rank") <= k)
     return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
