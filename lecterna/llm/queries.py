@@ -56,3 +56,17 @@ def p3_turns(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.turns import turns
 
     return turns(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/segment.parquet"), text=True)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.lookalike import same_look
+
+    return same_look(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/hyp_b.parquet"))
+
+
+@query
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.lookalike import forms
+
+    return forms(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/hyp_b.parquet"))
