@@ -70,3 +70,10 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.lookalike import forms
 
     return forms(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/hyp_b.parquet"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.sentences import sentences
+
+    return sentences(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/hyp_b.parquet"))
