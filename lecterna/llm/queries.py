@@ -77,3 +77,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.sentences import sentences
 
     return sentences(spark.read.parquet(f"{d}/hyp_a.parquet"), spark.read.parquet(f"{d}/hyp_b.parquet"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.quality import quality
+
+    return quality(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.quality import quality
+
+    return quality(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
