@@ -91,3 +91,31 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.quality import quality
 
     return quality(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+@query
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.packing import packed
+
+    return packed(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/container.parquet"))
+
+
+@query
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.packing import fill
+
+    return fill(p6_packed(spark, d))
+
+
+@query
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.mixing import mixed
+
+    return mixed(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_target.parquet"))
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.mixing import shares
+
+    return shares(p7_mixed(spark, d), spark.read.parquet(f"{d}/mix_target.parquet"))
