@@ -25,7 +25,7 @@ from lecterna.llm import hashing as H
 from lecterna.plans.lineage import written
 
 #: Rows of a bucket that one task compares; larger buckets are cut into a grid.
-BLOCK = 40_000
+BLOCK = 30_000
 #: At most so many buckets can exceed the cap, as the cap is copies * n / MOST_HEAVY at least.
 MOST_HEAVY = 10_000
 #: Pairs of which so many may be sent to every task: 16 bytes each.
@@ -68,7 +68,9 @@ def _hash(plan: H.HashPlan, heavy: dict[int, int] | None) -> Callable[[Iterator[
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["bucket"])
                     continue
                 cell, row = keys.ravel(), np.repeat(np.arange(len(ids)), plan.copies)
-                side = np.zeros(len(cell), np.int32)
+                # 8 marks a copy in a perturbed bucket, 1 and 2 the two blocks of a cell of a cut bucket
+                away = (np.tile(np.arange(plan.copies), len(ids)) % (plan.probes + 1) > 0) * np.int32(8)
+                side = away.copy()
                 if len(known):
                     p = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                     hot = np.nonzero(known[p] == cell)[0]
@@ -80,7 +82,7 @@ def _hash(plan: H.HashPlan, heavy: dict[int, int] | None) -> Callable[[Iterator[
                         o = own[rep]
                         with np.errstate(over="ignore"):
                             c = H.mix(cell[hot][rep] + np.minimum(o, other) * np.int64(1_000_003) + np.maximum(o, other) * np.int64(998_244_353) + 1)
-                        s = np.where(o == other, 0, np.where(o < other, 1, 2)).astype(np.int32)
+                        s = np.where(o == other, 0, np.where(o < other, 1, 2)).astype(np.int32) + away[hot][rep] + 16 * (o != other)
                         cold = np.ones(len(cell), bool)
                         cold[hot] = False
                         cell, row, side = np.r_[cell[cold], c], np.r_[row[cold], row[hot][rep]], np.r_[side[cold], s].astype(np.int32)
@@ -105,23 +107,26 @@ def cells(df: DataFrame, plan: H.HashPlan, n: int) -> DataFrame:
     return df.mapInArrow(_hash(plan, heavy), CELLS)
 
 
-def by_cell(parts: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray | None], list[pa.Array]], names: list[str], schema: str, dim: int, bits: int) -> DataFrame:
-    """``kernel(ids, codes, side)`` over every cell, one cell in memory at a time."""
+def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list[str], schema: str, dim: int, bits: int, *, alone: bool = False) -> DataFrame:
+    """``kernel(ids, codes, side, home)`` over every cell, one cell in memory at a
+    time; cells of one row only if ``alone``. ``home`` tells which copies are in
+    their own bucket (in a cut bucket: in the cell of their block alone)."""
     kind = np.int8 if bits == 8 else np.int16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(cell: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.concatenate([np.asarray(b.column(2)) for b in cell])
-            if len(ids) < 2:
+            if len(ids) < 2 - alone:
                 return
             side = np.concatenate([np.asarray(b.column(1)) for b in cell])
             size = dim * np.dtype(kind).itemsize
             raw = [np.frombuffer(b.column(3).buffers()[2], np.uint8)[int(np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset]) :][: b.num_rows * size] for b in cell]
             codes = np.concatenate(raw).view(kind).reshape(len(ids), dim)
+            home, side = side < 8, side % 8
             for s in (None, 0):  # a cell is whole (side 0) or a pair of blocks (sides 1, 2)
                 m = side == 0 if s is None else side != 0
-                if m.sum() > 1:
-                    out = kernel(ids[m], codes[m], None if s is None else side[m])
+                if m.sum() > 1 - (alone and s is None):
+                    out = kernel(ids[m], codes[m], None if s is None else side[m], home[m])
                     if len(out[0]):
                         yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -169,7 +174,7 @@ def candidates(df: DataFrame, *, k: int, least: float, dim: int, tables: int, fu
     n = df.count()
     plan = H.plan_for(n, dim, tables=tables, functions=functions, width=width, probes=probes, bits=8)
 
-    def kernel(ids: np.ndarray, codes: np.ndarray, side: np.ndarray | None) -> list[pa.Array]:
+    def kernel(ids: np.ndarray, codes: np.ndarray, side: np.ndarray | None, home: np.ndarray) -> list[pa.Array]:
         a, b, v, e = H.top_pairs(ids, codes, 2 * k, least, side)
         return [pa.array(a), pa.array(b), pa.array(v), pa.array(e)]
 
