@@ -91,7 +91,7 @@ def language(words: Column) -> Column:
 
 def trivial(words: Column) -> Column:
     """Nothing said: no token, interjections only, or one character that is no statement."""
-    return (F.size(words) == 0) | F.forall(words, lambda w: w.isin(INTERJECTIONS)) | ((F.size(words) == 1) & (F.char_length(words[0]) == 1) & ~words[0].isin(SINGLE_WORDS))
+    return (F.size(words) == 0) | F.forall(words, lambda w: w.isin(INTERJECTIONS)) | ((F.size(words) == 1) & (F.char_length(F.get(words, F.lit(0))) == 1) & ~F.get(words, F.lit(0)).isin(SINGLE_WORDS))
 
 
 def joined(words: Column) -> Column:
