@@ -15,7 +15,8 @@ def norm(x: Column) -> Column:
 
 
 def cosine(x: Column, y: Column) -> Column:
-    return dot(x, y) / (norm(x) * norm(y))
+    """Cosine; null if either is all zero."""
+    return F.try_divide(dot(x, y), norm(x) * norm(y))
 
 
 def affinity(x: Column, y: Column) -> Column:
@@ -24,8 +25,9 @@ def affinity(x: Column, y: Column) -> Column:
 
 
 def unit(x: Column) -> Column:
+    """``x`` at length one; nulls if it is all zero."""
     n = norm(x)
-    return F.transform(x, lambda v: v.cast("double") / n)
+    return F.transform(x, lambda v: F.try_divide(v.cast("double"), n))
 
 
 def softmax(x: Column) -> Column:

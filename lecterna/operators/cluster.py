@@ -123,14 +123,14 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 100) -> np.ndarray:
 
 
 def spectral_by(df: DataFrame, key: str, id_col: str, vec_col: str) -> DataFrame:
-    """(key, id, label): spectral clusters of each key's vectors."""
+    """(key, id, cluster): spectral clusters of each key's vectors."""
     t, kt = df.schema[id_col].dataType.simpleString(), df.schema[key].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(id_col)
-        return pd.DataFrame({key: g[key], id_col: g[id_col], "label": spectral(np.stack(g[vec_col].to_numpy()).astype(float))})
+        return pd.DataFrame({key: g[key], id_col: g[id_col], "cluster": spectral(np.stack(g[vec_col].to_numpy()).astype(float))})
 
-    return df.select(key, id_col, vec_col).groupBy(key).applyInPandas(run, f"{key} {kt}, {id_col} {t}, label long")
+    return df.select(key, id_col, vec_col).groupBy(key).applyInPandas(run, f"{key} {kt}, {id_col} {t}, cluster long")
 
 
 def merged_by_cosine(labels: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
