@@ -97,17 +97,24 @@ def trivial(words: Column) -> Column:
 def joined(words: Column) -> Column:
     """(line, english): tokens as a line; spaces around English words and
     numbers, ASCII marks after them, a lone i as I."""
+    # what a token needs is settled once, so that the fold only joins strings
+    kind = punct_class
+    items = F.transform(words, lambda t: F.struct(t.alias("t"), kind(t).alias("k"), (is_english(t) | is_numeric(t)).alias("word")))
+    items = F.transform(
+        items,
+        lambda s: F.struct(
+            F.when(s["t"] == "i", F.lit("I")).when(s["t"].startswith("i'"), F.concat(F.lit("I"), F.substr(s["t"], F.lit(2)))).otherwise(s["t"]).alias("t"),
+            F.when(s["k"] == 1, ascii_marks(s["t"])).otherwise(s["t"]).alias("mark"), s["k"].alias("k"), s["word"].alias("word"),
+        ),
+    )
     start = F.struct(F.lit("").alias("line"), F.lit(False).alias("en"), F.lit(0).alias("n"))
 
-    def step(a: Column, raw: Column) -> Column:
-        mapped = F.when(a["en"] & (punct_class(raw) == 1), ascii_marks(raw)).otherwise(raw)
-        word = is_english(mapped) | is_numeric(mapped)
-        t = F.when(mapped == "i", F.lit("I")).when(mapped.startswith("i'"), F.concat(F.lit("I"), F.substr(mapped, F.lit(2)))).otherwise(mapped)
-        spaced = F.when((F.char_length(a["line"]) == 0), t).otherwise(F.concat(a["line"], F.lit(" "), t))
-        other = F.when(a["en"] & (punct_class(mapped) < 0), F.concat(a["line"], F.lit(" "), mapped)).otherwise(F.concat(a["line"], mapped))
-        return F.struct(F.when(word, spaced).otherwise(other).alias("line"), word.alias("en"), (a["n"] + word.cast("int")).alias("n"))
+    def step(a: Column, s: Column) -> Column:
+        blank = (s["word"] & (a["line"] != "")) | (~s["word"] & a["en"] & (s["k"] < 0))
+        token = F.when(a["en"] & (s["k"] == 1), s["mark"]).otherwise(s["t"])
+        return F.struct(F.concat(a["line"], F.when(blank, F.lit(" ")).otherwise(F.lit("")), token).alias("line"), s["word"].alias("en"), (a["n"] + s["word"].cast("int")).alias("n"))
 
-    return F.aggregate(words, start, step, lambda a: F.struct(F.trim(a["line"]).alias("line"), a["n"].alias("english")))
+    return F.aggregate(items, start, step, lambda a: F.struct(F.trim(a["line"]).alias("line"), a["n"].alias("english")))
 
 
 def glued_letters(words: Column) -> Column:

@@ -19,7 +19,7 @@ TEACHER_VERBS = ["按照", "根据", "刚刚", "刚", "讲", "那么", "那", "
 MANTRAS = ["哇", "嗯", "啊", "哦", "嘿", "哟", "喂", "诶", "哎", "噢", "呃", "呦"]
 
 
-def chosen(kind: str | None, db: float | None, a: str, b: str, *, compat: bool = False, words: Iterable[str] = ()) -> tuple[str, str]:
+def chosen(kind: str | None, db: float | None, a: str, b: str, *, compat: bool = False, words: Iterable[str] = (), sim: float | None = None) -> tuple[str, str]:
     """(decision, text) of two hypotheses of one segment.
 
     ``b`` for English. Otherwise the edit similarity decides: mixed speech keeps ``a``
@@ -37,7 +37,8 @@ def chosen(kind: str | None, db: float | None, a: str, b: str, *, compat: bool =
     x = a.replace(" ", "")
     if not x:
         return "drop", ""
-    sim = 1 - distance(x, b) / max(len(x), len(b))
+    if sim is None:
+        sim = 1 - distance(x, b) / max(len(x), len(b))
     if kind != "cn":
         return ("a", x) if sim > 0.5 else ("drop", "")
     loud = db if db is not None else 1.0
@@ -71,12 +72,14 @@ def merged(hyp_a: DataFrame, hyp_b: DataFrame, *, compat: bool = False) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
-            got = [chosen(k if isinstance(k, str) else None, None if pd.isna(d) else d, x or "", y or "", compat=compat) for k, d, x, y in zip(g["asr_type"], g["audio_db"], g["a"], g["b"])]
+            got = [chosen(k if isinstance(k, str) else None, None if pd.isna(d) else d, x or "", y or "", compat=compat, sim=None if pd.isna(s) else s) for k, d, x, y, s in zip(g["asr_type"], g["audio_db"], g["a"], g["b"], g["sim"])]
             out = g[["stream_id", "idx", "begin_ms"]].copy()
             out["decision"], out["text"] = [x[0] for x in got], [x[1] for x in got]
             yield out
 
-    return a.join(b, ["stream_id", "idx"], "left").mapInPandas(run, "stream_id long, idx int, begin_ms long, decision string, text string")
+    # the edit distance is taken in the JVM, before the rows go to Python
+    both = a.join(b, ["stream_id", "idx"], "left").withColumn("sim", T.similarity(F.replace("a", F.lit(" "), F.lit("")), F.col("b")))
+    return both.mapInPandas(run, "stream_id long, idx int, begin_ms long, decision string, text string")
 
 
 def windows(tokens: DataFrame, *, gap: float = 0.3, size: float = 1.5) -> DataFrame:
