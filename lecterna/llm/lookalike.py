@@ -33,7 +33,7 @@ for _c, _latin in LOOK_ALIKES.items():
 
 def script(c: str) -> int:
     o = ord(c)
-    return 1 if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else 2 if 0x400 <= o <= 0x52F else 3 if 0x530 <= o <= 0x58F else 4 if 0xA4D0 <= o <= 0xA4FF else 0
+    return 1 if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else 2 if 0x400 <= o <= 0x52F else 3 if 0x530 <= o <= 0x58F else 0
 
 
 class _Fold(dict):
@@ -43,9 +43,9 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
-#: Words of the alphabets that share look-alikes: Latin, Greek, Cyrillic, Armenian, Lisu.
-WORD = re.compile("[A-Za-zÀ-ɏͰ-Ͽἀ-῿Ѐ-ԯ԰-֏Ḁỿꓐ-ꓽɑɡ]+")
-_FOREIGN = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ԰-֏ꓐ-ꓽɑɡ]")
+#: Words of the alphabets that share look-alikes: Latin, Greek, Cyrillic, Armenian.
+WORD = re.compile("[A-Za-zÀ-ɏͰ-Ͽἀ-῿Ѐ-ԯ԰-֏Ḁ-ỿ]+")
+_FOREIGN = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ԰-֏]")
 
 
 def plain(text: str) -> str:
@@ -77,19 +77,18 @@ def pairs(texts: Iterable[str]) -> Counter:
 class Speller:
     """Viterbi over the look-alike lattice of a word."""
 
-    #: Log score of changing script within a word.
-    SWITCH = -12.0
+    #: Score of changing script within a word: more than all pair scores together,
+    #: so that a word with letters of one script alone is read in that script.
+    SWITCH = -1e6
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.counts = counts
-        self.total: Counter = Counter()
-        for ab, n in counts.items():
-            self.total[ab[0]] += n
+        self.total = sum(counts.values())
         self.known: dict[str, str] = {}
 
     def score(self, a: str, b: str) -> float:
         a, b = a.lower(), b.lower()
-        s = math.log((self.counts.get(a + b, 0) + 0.1) / (self.total.get(a, 0) + 50))
+        s = math.log((self.counts.get(a + b, 0) + 0.1) / (self.total + 100))
         if " " not in (a, b) and script(a) != script(b):
             s += self.SWITCH
         return s

@@ -12,10 +12,10 @@ LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
     "ο": "o", "ν": "v", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "օ": "o", "ɑ": "a", "ɡ": "g", "ꓲ": "I",
+    "օ": "o",
 }
 OTHER_ALIKES = {
-    "‐": "-", "‑": "-", "−": "-", "∶": ":", "∣": "|", "ǀ": "|", "⁄": "/", "∕": "/", "‚": ",", "∙": "·", "⋅": "·", "ʼ": "’",
+    "‐": "-", "‑": "-", "−": "-", "∶": ":", "∣": "|", "ǀ": "|", "⁄": "/", "∕": "/", "‚": ",", "∙": "·", "⋅": "·", "ʼ": "’", "ɑ": "a", "ɡ": "g", "ꓲ": "I",
     "⺠": "民", "⻄": "西", "⻅": "见", "⻆": "角", "⻋": "车", "⻓": "长", "⻔": "门", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻢": "马", "⻥": "鱼", "⻦": "鸟", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻳": "龟", "⺟": "母", "⼾": "户", "⾼": "高",
 }
 #: Compatibility mappings that change what is seen.
