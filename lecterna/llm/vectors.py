@@ -51,7 +51,7 @@ def _rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(ids.filter(pa.array(ok)))[fine].astype(np.int64), x
 
 
-def _hash(plan: H.HashPlan, heavy: dict[int, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _hash(plan: H.HashPlan, heavy: dict[int, int] | None, border: float = 0.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """heavy: the number of blocks of each bucket above the cap; None: only the keys are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +68,9 @@ def _hash(plan: H.HashPlan, heavy: dict[int, int] | None) -> Callable[[Iterator[
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["bucket"])
                     continue
                 cell, row = keys.ravel(), np.repeat(np.arange(len(ids)), plan.copies)
-                # 8 marks a copy in a perturbed bucket, 1 and 2 the two blocks of a cell of a cut bucket
+                # 8 marks a copy in a perturbed bucket, 4 a row near a wall, 1 and 2 the two blocks of a cell of a cut bucket
                 away = (np.tile(np.arange(plan.copies), len(ids)) % (plan.probes + 1) > 0) * np.int32(8)
-                side = away.copy()
+                side = away + np.repeat((hasher.wall(x) < border) * np.int32(4), plan.copies)
                 if len(known):
                     p = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                     hot = np.nonzero(known[p] == cell)[0]
@@ -82,7 +82,7 @@ def _hash(plan: H.HashPlan, heavy: dict[int, int] | None) -> Callable[[Iterator[
                         o = own[rep]
                         with np.errstate(over="ignore"):
                             c = H.mix(cell[hot][rep] + np.minimum(o, other) * np.int64(1_000_003) + np.maximum(o, other) * np.int64(998_244_353) + 1)
-                        s = np.where(o == other, 0, np.where(o < other, 1, 2)).astype(np.int32) + away[hot][rep] + 16 * (o != other)
+                        s = np.where(o == other, 0, np.where(o < other, 1, 2)).astype(np.int32) + side[hot][rep] + 16 * (o != other)
                         cold = np.ones(len(cell), bool)
                         cold[hot] = False
                         cell, row, side = np.r_[cell[cold], c], np.r_[row[cold], row[hot][rep]], np.r_[side[cold], s].astype(np.int32)
@@ -96,21 +96,22 @@ def _hash(plan: H.HashPlan, heavy: dict[int, int] | None) -> Callable[[Iterator[
     return run
 
 
-def cells(df: DataFrame, plan: H.HashPlan, n: int) -> DataFrame:
+def cells(df: DataFrame, plan: H.HashPlan, n: int, border: float = 0.0) -> DataFrame:
     """(cell, side, id, code): every usable vector of ``df`` (id, vec) in the
-    cells in which it is compared."""
+    cells in which it is compared; rows within ``border`` of a wall are marked."""
     cap = max(BLOCK, -(-plan.copies * n // MOST_HEAVY))
     heavy: dict[int, int] = {}
     if plan.copies * n > cap:
         counts = df.mapInArrow(_hash(plan, None), "bucket long").groupBy("bucket").count().where(F.col("count") > cap)
         heavy = {r["bucket"]: -(-r["count"] // cap) for r in counts.collect()}
-    return df.mapInArrow(_hash(plan, heavy), CELLS)
+    return df.mapInArrow(_hash(plan, heavy, border), CELLS)
 
 
 def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list[str], schema: str, dim: int, bits: int, *, alone: bool = False) -> DataFrame:
     """``kernel(ids, codes, side, home)`` over every cell, one cell in memory at a
-    time; cells of one row only if ``alone``. ``home`` tells which copies are in
-    their own bucket (in a cut bucket: in the cell of their block alone)."""
+    time; cells of one row only if ``alone``. ``home`` is 1 for a copy in its own
+    bucket (in a cut bucket: in the cell of its block alone), 2 if the row is near
+    a wall of it, else 0."""
     kind = np.int8 if bits == 8 else np.int16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,7 @@ def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list
             size = dim * np.dtype(kind).itemsize
             raw = [np.frombuffer(b.column(3).buffers()[2], np.uint8)[int(np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset]) :][: b.num_rows * size] for b in cell]
             codes = np.concatenate(raw).view(kind).reshape(len(ids), dim)
-            home, side = side < 8, side % 8
+            home, side = np.where(side < 8, 1 + (side >> 2) % 2, 0), side % 4
             for s in (None, 0):  # a cell is whole (side 0) or a pair of blocks (sides 1, 2)
                 m = side == 0 if s is None else side != 0
                 if m.sum() > 1 - (alone and s is None):

@@ -92,7 +92,7 @@ LEARN = (
     + ["Nehmt z. B. das zweite Beispiel. Der Wert liegt bei ca. 6,15. Das ist leicht, d. h. wir üben. Am 5. Mai schreiben wir. Heute lernen wir. Die Klasse ist da.", "Wir üben da und üben hier. Das Beispiel schreiben wir da. Wir lernen da mehr."] * 30
 )
 CASES = [
-    ("T: Dr. Quill reads. See Fig. 4 now. Good.", [0, 20, 36]), ("Stop at 3.5 km. We meet at 3 p.m. on Monday. Good.", [0, 16, 46]), ("He asked, \"Can you? Yes.\" The class reads.", [0, 26]), ("\"It moves. Look!\" said Dr. Quill. The class reads.", [0, 34]),
+    ("T: Dr. Quill reads. See Fig. 4 now. Good.", [0, 20, 36]), ("Stop at 3.5 km. See Fig. 4 now. Good.", [0, 16, 32]), ("He asked, \"Can you? Yes.\" The class reads.", [0, 26]), ("\"It moves. Look!\" said Dr. Quill. The class reads.", [0, 34]),
     ("他说：“好。你们再读！”我们走。", [0, 12]), ("“好了。”小禾一边说，一边写。再见。", [0, 15]), ("一\n二", [0, 2]), ("我们慢一点……再读。", [0]), ("今天我们讲函数 好 听懂了吗", [0, 8, 10]), ("拼音 mā má 里有声调", [0]), ("（见第3页）好。\n[笑声]对。", [0, 9]),
     ("Nehmt z. B. das Beispiel. Am 5. Mai schreiben wir.", [0, 26]), ("第一句.第二句!第三句?", [0, 4, 8]), ("   We wait.  Good now.", [3, 13]), ("", []), ("  \n ", []), ("版本1.2.3好。Open lesson10.txt and read. The class waits.", [0, 9, 37]),
 ]
