@@ -189,7 +189,7 @@ def weighted_vote(spark: SparkSession, d: str) -> DataFrame:
     gaps = e.where("event_type = 'purchase'").select("user_id", "event_id", "ms")
     near = I.asof(gaps, e.where("event_type <> 'purchase'").select("user_id", "ms", "event_type"), "user_id", "ms", "event_type", tie="event_id")
     votes = near.where("near_value is not null").select(F.col("user_id").alias("key"), F.col("near_value").alias("label"), ((F.col("ms") - F.col("near_time")) >= HOUR).alias("is_long"))
-    return C.voted(votes).select(F.col("key").alias("user_id"), "label", F.round("score", 3).alias("score"), "rank")
+    return C.voted(votes).select(F.col("key").alias("user_id"), "label", F.round("score", 3).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH r AS (SELECT l_returnflag, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WHERE l_extendedprice > 0)
@@ -565,10 +565,92 @@ def token_table(spark: SparkSession, d: str) -> DataFrame:
     return u.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("begin_ms", "idx", "p")).cast("long").alias("pos"), "token")
 
 
-@query("SELECT user_id, time_bucket(INTERVAL '6 seconds', ts) AS at, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id, epoch_us(ts) // 6000000 * 6000 AS at, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.window("t", "6 seconds").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("at"), "n")
+    return e.groupBy("user_id", F.window("t", "6 seconds").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_millis("w.start").alias("at"), "n")
+
+
+@query("""WITH s AS (SELECT DISTINCT stream_id, idx, audio_db FROM vad_segment WHERE idx IS NOT NULL), a AS (SELECT DISTINCT stream_id, idx FROM hyp_a), v AS (SELECT DISTINCT stream_id, seg_id AS idx FROM segment)
+  SELECT stream_id, idx, CASE WHEN a.idx IS NULL THEN -1 ELSE 1 END AS heard, CASE WHEN v.idx IS NULL THEN -1 ELSE 1 END AS voiced FROM s LEFT JOIN a USING (stream_id, idx) LEFT JOIN v USING (stream_id, idx)""")
+def parent_child(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-results regrouped under every parent, -1 where an operator wasn't run."""
+    s = table(spark, d, "vad_segment").where("idx is not null").select("stream_id", "idx").distinct()
+    a = table(spark, d, "hyp_a").select("stream_id", "idx", F.lit(1).alias("heard")).distinct()
+    v = table(spark, d, "segment").select("stream_id", F.col("seg_id").alias("idx"), F.lit(1).alias("voiced")).distinct()
+    return s.join(a, ["stream_id", "idx"], "left").join(v, ["stream_id", "idx"], "left").fillna(-1, ["heard", "voiced"])
+
+
+@query("""SELECT stream_id, idx FROM (SELECT DISTINCT stream_id, idx FROM hyp_a INTERSECT SELECT DISTINCT stream_id, idx FROM hyp_b WHERE asr_sensevoice_result IS NOT NULL) EXCEPT SELECT stream_id, seg_id FROM segment""")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "hyp_a").select("stream_id", "idx")
+    b = table(spark, d, "hyp_b").where("asr_sensevoice_result is not null").select("stream_id", "idx")
+    s = table(spark, d, "segment").select("stream_id", F.col("seg_id").alias("idx"))
+    return a.join(b, ["stream_id", "idx"], "left_semi").distinct().join(s, ["stream_id", "idx"], "left_anti")
+
+
+@query("""WITH a AS (SELECT DISTINCT stream_id, idx, asr_dec_raw_tokens AS t, asr_dec_stamp AS s FROM hyp_a WHERE asr_dec_raw_tokens IS NOT NULL AND asr_dec_stamp IS NOT NULL),
+  u AS (SELECT stream_id, idx, i AS pos, s[i].b AS b, t[i - 1] AS before, s[i - 1].e AS e FROM a, range(2, 3000) r(i) WHERE i <= least(len(t), len(s)))
+  SELECT stream_id, idx, CAST(pos - 2 AS INT) AS pos FROM u WHERE b - e >= 300 UNION SELECT stream_id, idx, CAST(pos - 2 AS INT) FROM u WHERE before IN ('，', ',', '、')""")
+def break_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Places with a pause or a comma behind them, each once."""
+    z = hyp_a(spark, d).where("tokens is not null and stamps is not null").select("stream_id", "idx", F.expr("slice(tokens, 1, least(size(tokens), size(stamps)))").alias("t"), F.expr("slice(stamps, 1, least(size(tokens), size(stamps)))").alias("s"))
+    at = F.sequence(F.lit(2), F.size("t"))
+    u = z.where(F.size("t") > 1).select("stream_id", "idx", "t", "s", F.explode(at).alias("p"))
+    u = u.select("stream_id", "idx", (F.col("p") - 2).alias("pos"), (F.element_at("s", F.col("p"))["b"] - F.element_at("s", F.col("p") - 1)["e"]).alias("gap"), F.element_at("t", F.col("p") - 1).alias("before"))
+    return u.where("gap >= 300").select("stream_id", "idx", "pos").union(u.where(F.col("before").isin("，", ",", "、")).select("stream_id", "idx", "pos")).distinct()
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM documents)
+  SELECT word, array_to_string(regexp_extract_all(word, '\\d+|[a-zA-Z]+'), ' ') AS parts, array_to_string(list_transform(range(0, (length(word) + 3) // 4), lambda i: substr(word, CAST(i * 4 + 1 AS BIGINT), 4)), ' ') AS pieces FROM w""")
+def word_parts(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word")).distinct()
+    return w.select("word", F.array_join(T.split_digits(F.col("word")), " ").alias("parts"), F.array_join(T.capped_words(F.col("word")), " ").alias("pieces"))
+
+
+@query("""SELECT doc_id, translate(text, ',.?', '，。？') AS marks, CASE WHEN s > r THEN true WHEN r > s THEN false END AS simplified
+  FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[里门读图国学说们]')) AS s, len(regexp_extract_all(text, '[裡門讀圖國學說們]')) AS r FROM documents WHERE text IS NOT NULL) WHERE s <> r""")
+def script_class(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", T.full_marks(F.col("text")).alias("marks"), T.is_simplified(F.col("text"), "里门读图国学说们", "裡門讀圖國學說們").alias("simplified")).where("simplified is not null")
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE)) AS x, list_transform(embedding[9:16], lambda v: CAST(v AS DOUBLE)) AS y FROM embeddings)
+  SELECT vec_id, round(0.5 * (1 + list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)))), 5) AS affinity, round(x[1] / sqrt(list_dot_product(x, x)), 5) AS first, round(list_sum(list_transform(range(1, 9), lambda i: (x[i] + 0.5) * y[i])), 5) AS scaled FROM x""")
+def vector_functions(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda a: F.transform(F.slice("embedding", a, 8), lambda v: v.cast("double"))
+    x = table(spark, d, "embeddings").select("vec_id", part(1).alias("x"), part(9).alias("y"))
+    half = F.array_repeat(F.lit(0.5), 8)
+    scaled = F.aggregate(V.normalised(F.col("x"), half, F.col("y")), F.lit(0.0), lambda s, v: s + v)
+    return x.select("vec_id", F.round(V.affinity(F.col("x"), F.col("y")), 5).alias("affinity"), F.round(V.unit(F.col("x"))[0], 5).alias("first"), F.round(scaled, 5).alias("scaled"))
+
+
+@query("""WITH a AS (SELECT DISTINCT stream_id, idx, asr_dec_raw_tokens AS t FROM hyp_a WHERE asr_dec_raw_tokens IS NOT NULL)
+  SELECT stream_id, idx, CAST(len(t) AS INT) AS n, CAST(CASE WHEN len(t) <= 1 THEN 1 ELSE pow(2, ceil(log2(len(t)))) END AS BIGINT) AS padded, greatest(0, 64 - len(t))::INT AS pads FROM a""")
+def batch_padding(spark: SparkSession, d: str) -> DataFrame:
+    h = hyp_a(spark, d).where("tokens is not null")
+    n = F.size("tokens")
+    return h.select("stream_id", "idx", n.alias("n"), V.next_power(n).cast("long").alias("padded"), (F.size(V.padded(F.col("tokens"), F.lit(64), "")) - n).alias("pads"))
+
+
+@query("""WITH a AS (SELECT DISTINCT stream_id, idx, asr_dec_preds AS p FROM hyp_a) SELECT stream_id, idx, regexp_replace(regexp_replace(p, '([a-zA-Z])''([a-zA-Z])', '\\1ʼ\\2', 'g'), '([a-zA-Z])''([a-zA-Z])', '\\1ʼ\\2', 'g') AS protected FROM a WHERE p LIKE '%''%'""")
+def apostrophes(spark: SparkSession, d: str) -> DataFrame:
+    h = hyp_a(spark, d).where(F.contains("preds", F.lit("'")))
+    return h.select("stream_id", "idx", T.protected_apostrophes(F.col("preds")).alias("protected"))
+
+
+@query("""WITH a AS (SELECT DISTINCT stream_id, idx, begin_ms, asr_dec_preds AS p FROM hyp_a), b AS (SELECT *, lag(p) OVER (PARTITION BY stream_id ORDER BY begin_ms, idx) AS q FROM a)
+  SELECT stream_id, idx, CASE WHEN (q IS NULL OR regexp_matches(q, '[.。?？!！][ \t\n]*$')) AND regexp_matches(p, '^[a-z]') THEN upper(substr(p, 1, 1)) || substr(p, 2) ELSE p END AS line FROM b""")
+def capitals(spark: SparkSession, d: str) -> DataFrame:
+    h = hyp_a(spark, d).select("stream_id", "idx", "begin_ms", F.col("preds").alias("line"))
+    return T.capitalised(h, "stream_id", ["begin_ms", "idx"], "line").select("stream_id", "idx", "line")
+
+
+@query("""SELECT task_id, CAST(userdata['idx'] AS INT) AS idx, CAST(userdata['begin_ms'] AS BIGINT) AS begin_ms, finished_ts IS NULL AS open FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ingest_ts) AS r FROM task) WHERE r = 1 AND userdata['idx'] IS NOT NULL""")
+def task_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options of each task, read from its map once."""
+    t = table(spark, d, "task").dropDuplicates(["task_id"]).where("userdata['idx'] is not null")
+    return t.select("task_id", F.col("userdata")["idx"].cast("int").alias("idx"), F.col("userdata")["begin_ms"].cast("long").alias("begin_ms"), F.col("finished_ts").isNull().alias("open"))
 
 
 from lecterna import catalog_more as _more  # noqa: E402, F401 - registers the queries that need Python steps

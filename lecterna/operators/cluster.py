@@ -185,3 +185,36 @@ def voted(votes: DataFrame, *, long_weight: float = 1.0, short_weight: float = 0
     score = F.when(any_long & (F.col("n_long") > 0), F.col("n_long") * long_weight + F.col("n_short") * short_weight).when(~any_long, F.col("n_short").cast("double"))
     w = Window.partitionBy("key").orderBy(F.desc("score"), "label")
     return n.withColumn("score", score).where("score is not null").withColumn("rank", F.row_number().over(w)).select("key", "label", "score", "rank")
+
+
+def teacher_of(votes: DataFrame) -> DataFrame:
+    """(key, label): the teacher's label of ``voted`` counts (key, label, n_long,
+    n_short, segments). A clear winner of the merged votes is it; where the two best
+    are close, the better one of the unmerged votes if those are clear, else the
+    one with more segments."""
+    w = Window.partitionBy("key")
+    some = F.max("n_long").over(w) > 0
+    merged = F.when(F.col("n_long") > 0, F.col("n_long") + 0.3 * F.col("n_short"))
+    v = votes.withColumn("m", merged).withColumn("some", some)
+    rank = lambda c: F.row_number().over(w.orderBy(F.desc_nulls_last(c), "label"))
+    v = v.withColumn("rm", rank("m")).withColumn("rl", rank("n_long")).withColumn("rs", rank("segments"))
+    at = lambda r, c, k: F.max(F.when(F.col(r) == k, F.col(c)))
+    g = v.groupBy("key").agg(
+        F.max("some").alias("some"), at("rm", "m", 1).alias("a"), at("rm", "m", 2).alias("b"), at("rl", "n_long", 1).alias("c"), at("rl", "n_long", 2).alias("d"),
+        at("rm", "label", 1).alias("best"), at("rl", "label", 1).alias("raw"), at("rs", "label", 1).alias("common"), at("rm", "segments", 1).alias("s1"), at("rm", "segments", 2).alias("s2"), at("rm", "label", 2).alias("second"),
+    )
+    close = (F.col("b") / F.col("a") > 0.75) | ((F.col("a") - F.col("b") < 10) & (F.col("a") > 50))
+    clear = (F.col("d") / F.col("c") > 0.75) & (F.col("c") - F.col("d") > 10)
+    longer = F.when(F.col("s2") > F.col("s1"), F.col("second")).otherwise(F.col("best"))
+    return g.select("key", F.when(~F.col("some"), F.col("common")).when(F.col("b").isNull() | ~close, F.col("best")).when(clear, F.col("raw")).otherwise(longer).alias("label"))
+
+
+def speaker_labels(x: np.ndarray, *, alike: float = 0.8, sizes: tuple[int, ...] = (30, 80, 200)) -> np.ndarray:
+    """Labels of one recording: spectral clusters, joined where their centres are
+    nearly equal; fewer vectors than the smallest size are one cluster if they are
+    all alike."""
+    if len(x) < sizes[0]:
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        if len(x) < 2 or (u @ u.T).min() >= alike:
+            return np.zeros(len(x), np.int64)
+    return merged_by_cosine(spectral(x), x, alike)

@@ -167,3 +167,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q = speech.detect_stream(src).writeStream.format("memory").queryName("vad").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("vad").collect()) == batch
+
+
+def test_teacher_votes(spark):
+    rows = [("a", 1, 10, 0, 5), ("a", 2, 2, 1, 9), ("b", 1, 0, 3, 4), ("b", 2, 0, 9, 7), ("c", 1, 100, 0, 3), ("c", 2, 95, 0, 8), ("d", 1, 4, 0, 1)]
+    got = {r["key"]: r["label"] for r in C.teacher_of(spark.createDataFrame(rows, "key string, label long, n_long long, n_short long, segments long")).collect()}
+    assert got == {"a": 1, "b": 2, "c": 2, "d": 1}
+
+
+def test_speaker_labels_of_short_recordings():
+    g = np.random.default_rng(0)
+    same = np.ones((12, 8)) + 0.01 * g.standard_normal((12, 8))
+    assert set(C.speaker_labels(same)) == {0} and C.speaker_labels(same[:1]).tolist() == [0]
