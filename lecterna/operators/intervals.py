@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,26 +35,31 @@ def merge_capped(df: DataFrame, key: str, start: str, end: str, *, cap: int, gap
     group would reach ``cap``. Which segment starts a group depends on the groups
     before it only within an island of small gaps, so islands are the unit of
     work: a long key is spread over as many tasks as it has islands."""
-    rows = islands(df, key, start, end, gap, tie=end, inclusive=False).select(key, "island", start, end)
+    rows = islands(df, key, start, end, gap, tie=end, inclusive=False).select(key, "island", F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {start} long, {end} long, n long"
 
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([start, end], kind="stable")
-        out: list[tuple] = []
-        k = g[key].iloc[0]
-        head = last = None
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = head = last = None
         n = 0
-        for b, e in zip(g[start].tolist(), g[end].tolist()):
-            if head is not None and e - head < cap:
-                last, n = e, n + 1
-                continue
-            if head is not None:
-                out.append((k, head, last, n))
-            head, last, n = b, e, 1
-        out.append((k, head, last, n))
-        return pd.DataFrame(out, columns=[key, start, end, "n"])
-
-    return rows.groupBy(key, "island").applyInPandas(merge, schema)
+        for x in batches:
+            out: list[tuple] = []
+            for k, i, b, e in zip(*(x.column(c).to_pylist() for c in range(4))):
+                if at == (k, i) and e - head < cap:
+                    last, n = e, n + 1
+                    continue
+                if at is not None:
+                    out.append((at[0], head, last, n))
+                at, head, last, n = (k, i), b, e, 1
+            yield _batch(out, x.schema.field(0).type)
+        if at is not None:
+            yield _batch([(at[0], head, last, n)], x.schema.field(0).type)
+
+    def _batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[key, start, end, "n"])
+
+    # an island lies in one partition, its rows in order; the loop only carries the open group
+    return rows.repartition(key, "island").sortWithinPartitions(key, "island", start, end).mapInArrow(merge, schema)
 
 
 def complement(df: DataFrame, key: str, start: str, end: str, low: Column, high: Column) -> DataFrame:
