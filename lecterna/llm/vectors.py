@@ -70,7 +70,7 @@ def _hash(plan: H.HashPlan, heavy: dict[int, int] | None, border: float = 0.0) -
                 cell, row = keys.ravel(), np.repeat(np.arange(len(ids)), plan.copies)
                 # 8 marks a copy in a perturbed bucket, 4 a row near a wall, 1 and 2 the two blocks of a cell of a cut bucket
                 away = (np.tile(np.arange(plan.copies), len(ids)) % (plan.probes + 1) > 0) * np.int32(8)
-                side = away + np.repeat((hasher.wall(x) < border) * np.int32(4), plan.copies)
+                side = away + (np.repeat((hasher.wall(x) < border) * np.int32(4), plan.copies) if border else np.int32(0))
                 if len(known):
                     p = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                     hot = np.nonzero(known[p] == cell)[0]
