@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lecterna.functions import sequences as S
 from lecterna.functions import text as T
 from lecterna.functions.itn import written
+from lecterna.plans import lineage
 
 # Words that mark a teacher's sentence.
 TEACHER_SINGLE = ["好", "对", "来", "你", "坐", "停", "看"]
@@ -154,10 +155,12 @@ def report(hyp_a: DataFrame, hyp_b: DataFrame, roles: DataFrame, *, compat: bool
     u = a.select("stream_id", "idx", "begin_ms", "final", F.size("asr_dec_raw_tokens").alias("m"), F.posexplode(both).alias("k", "x")).where("x.token is not null")
     order = Window.partitionBy("stream_id").orderBy("begin_ms", "idx", "k")
     u = u.select("stream_id", F.row_number().over(order).cast("long").alias("pos"), F.col("x.token").alias("token"), F.when(F.col("k") == F.col("m") - 1, F.col("final")).alias("final"), (F.col("begin_ms") + F.coalesce("x.stamp.b", F.lit(0))).alias("start"), (F.col("begin_ms") + F.coalesce(F.greatest("x.stamp.e", F.col("x.stamp.b") + 1), F.lit(1))).alias("end"))
+    u = lineage.written(u, "tokens")  # used twice below
     near = overlap_argmax(u.withColumnRenamed("pos", "token_id"), roles, "stream_id", 10_000).join(roles.select("stream_id", "role_id", "role"), ["stream_id", "role_id"]).select("stream_id", F.col("token_id").alias("pos"), "role")
     sign = F.coalesce("final", F.substr("token", F.lit(-1)))
     mark = F.when(sign.isin(list("。.!！”\"」।")), 3).when(sign.isin(list("?？؟")), 4).when(sign.isin(list(",，")), 2).otherwise(1)
     t = u.join(near, ["stream_id", "pos"], "left").select(F.col("stream_id").alias("doc"), "pos", "token", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), mark.alias("punc"), F.coalesce("role", F.lit(0)).alias("role"))
+    t = lineage.written(t, "tokens")  # and this one several times
     s = role_overrides(sentences(t))
     return s, statistics(s, t)
 
