@@ -191,16 +191,18 @@ def reversed_rtl(text: str) -> str:
 
 
 def latex(text: str) -> str:
-    """LaTeX without the blanks that carry nothing, applied until nothing changes."""
-    text = re.sub(r"(\\(?:operatorname|mathrm|text|mathbf)\s?\*? )\{(.*?)\}", lambda m: m[1].replace(" ", "") + "{" + m[2].replace(" ", "") + "}", text)
-    letter, mark = "[a-zA-Z]", r"[\W_^\d]"
-    while True:
-        new = re.sub(rf"(?!\\ )({mark})\s+?({mark})", r"\1\2", text)
-        new = re.sub(rf"(?!\\ )({mark})\s+?({letter})", r"\1\2", new)
-        new = re.sub(rf"({letter})\s+?({mark})", r"\1\2", new)
-        if new == text:
-            return new
-        text = new
+    """LaTeX without the blanks that carry nothing: only an escaped blank and
+    the one between two letters stay; named operators lose all of theirs."""
+    named = re.compile(r"\\(operatorname|mathrm|text|mathbf)\s*(\*?)\s*\{([^{}]*)\}")
+    text = named.sub(lambda m: f"\\{m[1]}{m[2]}{{{''.join(m[3].split())}}}", text.strip())
+
+    def keep(m: re.Match[str]) -> str:
+        if m[0].startswith("\\"):
+            return m[0]
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        return " " if before.isalpha() and after.isalpha() else ""
+
+    return re.sub(r"\\\s|\s+", keep, text)
 
 
 def shifted_marks(words: Sequence[str], marks: Sequence[int], gaps: Sequence[float], whole: Sequence[bool], least: float = 0.1) -> list[int]:

@@ -56,7 +56,8 @@ def test_words():
     assert S.mixed_words("ab c你好", S.max_match(["你好"])) == ["ab", "c", "你好"]
     assert S.character_words("中a1国") == [("cn", "中"), ("en&num", "a1"), ("cn", "国")]
     assert S.deduplicated(["好", "好", "好"], [(0, 1)] * 3) == [0, 1]
-    assert S.latex("a _ {1 2}") == S.latex(S.latex("a _ {1 2}"))
+    assert S.latex("a _ { 1 2 } + \\alpha x \\ y") == "a_{12}+\\alpha x\\ y"
+    assert S.latex("\\mathrm { m o d } n") == "\\mathrm{mod}n"
 
 
 def test_word_windows_cover_the_segment():
