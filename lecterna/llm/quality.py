@@ -148,17 +148,17 @@ class Measurer:
                 ls = np.array([len(p) for p in parts], float)
                 seg, seg_len, spread = len(parts), float(ls.mean()), float(ls.std() / max(ls.mean(), 1))
         tail = len(re.findall(r"\(\d{1,3}\)", v)) / max(1, max(len(lines), seg))
-        labelled = sum(speech.heads(x)[1] is not None for x in lines[:200]) / max(1, min(200, len(lines)))
+        labelled = sum(speech.heads(x)[1] is not None for x in lines) / max(1, len(lines))
         terminals = len(re.findall(r"[。!?！？؟।]|\.(?=\s|$)", v))
         ps = pairs_of(v)
         lp = self.usual[slots(ps)] if ps else np.full(1, 4.0)  # nothing to tell
         us = units(v)
         od = self.odds[slots(us)] if us else np.zeros(1)
         per = []
-        for x in body[:200]:
+        for x in body:
             u = units(x)
             per.append(float(self.odds[slots(u)].mean()) if u else 0.0)
-        per_mass = np.array([len(x) for x in body[:200]] or [1], float)
+        per_mass = np.array([len(x) for x in body] or [1], float)
         per_a = np.array(per or [0.0])
         odd = sum("\x80" <= c <= "¿" and not c.isspace() and c not in "«»¿¡°±§·" or c == "�" for c in v) / n
         swaps = sum(a.islower() and b.isupper() for a, b in zip(v, v[1:])) / n

@@ -221,3 +221,13 @@ def test_columns_that_clash(spark):
     from lecterna.llm.tokens import sized
 
     assert sized(df, "text").columns == ["doc_id", "tokens", "digest"] and sized(df.withColumn("text", F.lit(None).cast("string")), "text").first()["tokens"] == 0
+
+
+def test_statistics_see_every_line():
+    odds = np.random.default_rng(3).standard_normal(quality.SLOTS)
+    m = quality.Measurer(np.zeros(quality.SLOTS), odds)
+    plain, spoken = [f"glossary item {i}" for i in range(250)], [f"Teacher: we see that {i} is so." for i in range(250)]
+    one, other = (dict(zip(quality.NAMES, m("\n".join(["Notes", *a, *b])))) for a, b in ((plain, spoken), (spoken, plain)))
+    for k in ("labelled", "speaks_body", "speaks_lines"):
+        assert one[k] == pytest.approx(other[k])
+    assert one["labelled"] == pytest.approx(250 / 501)
