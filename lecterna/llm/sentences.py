@@ -371,8 +371,6 @@ _LETTER = re.compile(r"[^\W_]")
 
 def speech_free(v: str) -> bool:
     """True if a piece holds marks and signs only."""
-    if len(v) > 80:
-        return False
     h = speech.heads(v)[0]
     rest = v[h:]
     if not _LETTER.search(rest):

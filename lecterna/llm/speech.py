@@ -87,7 +87,9 @@ _HEAD = re.compile(rf"\s*(?:{TIME}|{ANNOTATION}|{LABEL})\s*", re.I)
 _TIMES = re.compile(TIME)
 _NOTES = re.compile(ANNOTATION, re.I)
 _LABELS = re.compile(rf"(?:^|(?<=\n))\s*{LABEL}", re.I)
-_BARE = re.compile(rf"(?:[\W_]*{_HES}(?![a-zäöü]))*[\W_]*", re.I)
+# possessive: a long run of one sound has one reading, not one for every way to cut it
+_BARE = re.compile(rf"(?:[\W_]*+(?>{_HES}(?![a-zäöü])))*+[\W_]*+", re.I)
+_MARKS = re.compile(r"[\[(<*【\n]")
 _HAN = {c: i for i, c in enumerate("零一二三四五六七八九")}
 
 
@@ -123,7 +125,9 @@ def heads(v: str, at: int = 0) -> tuple[int, str | None, bool]:
 def spoken(v: str) -> bool:
     """Whether a view holds something spoken beyond bare hesitation sounds."""
     rest = v[heads(v)[0] :]
-    if len(rest) > 60 and not ("[" in rest or "<" in rest):
+    at = _BARE.match(rest).end()
+    # a word that no mark opens and no label holds settles it
+    if rest[at : at + 1].isalpha() and not _MARKS.search(rest, 0, at) and not _LABELS.match(rest):
         return True
     rest = _LABELS.sub(" ", _NOTES.sub(" ", _TIMES.sub(" ", rest)))
     return not _BARE.fullmatch(rest)

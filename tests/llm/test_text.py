@@ -231,3 +231,12 @@ def test_statistics_see_every_line():
     for k in ("labelled", "speaks_body", "speaks_lines"):
         assert one[k] == pytest.approx(other[k])
     assert one["labelled"] == pytest.approx(250 / 501)
+
+
+@pytest.mark.parametrize("text", ["uh, um. " * 30, "(applause) um 【笑声】 " * 20, "嗯" * 5000, "T: 嗯，呃。*cough* " + "hmm " * 40, "um\nT: uh\n" * 20])
+def test_long_texts_without_speech(text):
+    assert not speech.spoken(text) and speech.spoken(text + "好的") and speech.spoken("well " + text)
+
+
+def test_long_pieces_of_marks():
+    assert sentences.speech_free("(applause) " * 20) and not sentences.speech_free("(applause) " * 20 + "好")
