@@ -51,68 +51,89 @@ def _rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(ids.filter(pa.array(ok)))[fine].astype(np.int64), x
 
 
-def _hash(plan: H.HashPlan, heavy: dict[int, int] | None, border: float = 0.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packed_rows(data: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    offsets = (np.arange(len(data) + 1) * data.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def unpacked_rows(col: pa.Array, width: int) -> np.ndarray:
+    """The bytes of a binary column without nulls, ``width`` a row."""
+    start = int(np.frombuffer(col.buffers()[1], np.int32)[col.offset]) if len(col) else 0
+    return np.frombuffer(col.buffers()[2], np.uint8)[start : start + len(col) * width].reshape(len(col), width) if len(col) else np.zeros((0, width), np.uint8)
+
+
+#: Rows of a batch (ids, unit rows, bytes that travel with each).
+Reader = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _hash(read: Reader, hasher: H.Hasher | H.Polytope, heavy: dict[int, int] | None, grid: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """heavy: the number of blocks of each bucket above the cap; None: only the keys are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = H.Hasher(plan)
         known = np.array(sorted(heavy or ()), np.int64)
         blocks = np.array([(heavy or {})[int(k)] for k in known], np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                ids, x = _rows(whole.slice(at, 4096), plan.dim)
+                ids, x, data = read(whole.slice(at, 4096))
                 if not len(ids):
                     continue
                 keys = hasher.keys(x)
                 if heavy is None:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["bucket"])
                     continue
-                cell, row = keys.ravel(), np.repeat(np.arange(len(ids)), plan.copies)
-                # 8 marks a copy in a perturbed bucket, 4 a row near a wall, 1 and 2 the two blocks of a cell of a cut bucket
-                away = (np.tile(np.arange(plan.copies), len(ids)) % (plan.probes + 1) > 0) * np.int32(8)
-                side = away + (np.repeat((hasher.wall(x) < border) * np.int32(4), plan.copies) if border else np.int32(0))
+                copies = keys.shape[1]
+                cell, row = keys.ravel(), np.repeat(np.arange(len(ids)), copies)
+                side = np.zeros(len(cell), np.int32)  # 1 and 2: the two blocks of a cell of a cut bucket
                 if len(known):
                     p = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                     hot = np.nonzero(known[p] == cell)[0]
                     if len(hot):
                         m = blocks[p[hot]]
                         own = (H.mix(ids[row[hot]]).astype(np.uint64) % m.astype(np.uint64)).astype(np.int64)
+                        if not grid:
+                            m = np.ones_like(m)
                         rep = np.repeat(np.arange(len(hot)), m)
-                        other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                        other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) if grid else own
                         o = own[rep]
                         with np.errstate(over="ignore"):
                             c = H.mix(cell[hot][rep] + np.minimum(o, other) * np.int64(1_000_003) + np.maximum(o, other) * np.int64(998_244_353) + 1)
-                        s = np.where(o == other, 0, np.where(o < other, 1, 2)).astype(np.int32) + side[hot][rep] + 16 * (o != other)
+                        s = np.where(o == other, 0, np.where(o < other, 1, 2)).astype(np.int32)
                         cold = np.ones(len(cell), bool)
                         cold[hot] = False
                         cell, row, side = np.r_[cell[cold], c], np.r_[row[cold], row[hot][rep]], np.r_[side[cold], s].astype(np.int32)
-                codes = H.encode(x, plan.bits)
-                width = codes.shape[1] * codes.itemsize
-                data = codes.view(np.uint8).reshape(len(codes), width)[row]
-                offsets = (np.arange(len(row) + 1) * width).astype(np.int32)
-                code = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), pa.array(ids[row]), code], names=["cell", "side", "id", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), pa.array(ids[row]), packed_rows(data[row])], names=["cell", "side", "id", "code"])
 
     return run
 
 
-def cells(df: DataFrame, plan: H.HashPlan, n: int, border: float = 0.0) -> DataFrame:
-    """(cell, side, id, code): every usable vector of ``df`` (id, vec) in the
-    cells in which it is compared; rows within ``border`` of a wall are marked."""
-    cap = max(BLOCK, -(-plan.copies * n // MOST_HEAVY))
+def unit_reader(dim: int, bits: int) -> Reader:
+    """Reads (id, vec); a usable vector travels as its fixed-point code."""
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, x = _rows(batch, dim)
+        codes = H.encode(x, bits)
+        return ids, x, codes.view(np.uint8).reshape(len(codes), dim * codes.itemsize)
+
+    return read
+
+
+def cells(df: DataFrame, read: Reader, hasher: H.Hasher | H.Polytope, n: int, *, grid: bool = True) -> DataFrame:
+    """(cell, side, id, code): every row of ``df`` in the cells in which it is
+    compared. A bucket above the cap is cut into blocks by the id; with ``grid``
+    every pair of blocks is a cell, else every block alone."""
+    copies = hasher.copies
+    cap = max(BLOCK, -(-copies * n // MOST_HEAVY))
     heavy: dict[int, int] = {}
-    if plan.copies * n > cap:
-        counts = df.mapInArrow(_hash(plan, None), "bucket long").groupBy("bucket").count().where(F.col("count") > cap)
+    if copies * n > cap:
+        counts = df.mapInArrow(_hash(read, hasher, None, grid), "bucket long").groupBy("bucket").count().where(F.col("count") > cap)
         heavy = {r["bucket"]: -(-r["count"] // cap) for r in counts.collect()}
-    return df.mapInArrow(_hash(plan, heavy, border), CELLS)
+    return df.mapInArrow(_hash(read, hasher, heavy, grid), CELLS)
 
 
-def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list[str], schema: str, dim: int, bits: int, *, alone: bool = False) -> DataFrame:
-    """``kernel(ids, codes, side, home)`` over every cell, one cell in memory at a
-    time; cells of one row only if ``alone``. ``home`` is 1 for a copy in its own
-    bucket (in a cut bucket: in the cell of its block alone), 2 if the row is near
-    a wall of it, else 0."""
-    kind = np.int8 if bits == 8 else np.int16
+def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list[str], schema: str, width: int, *, alone: bool = False) -> DataFrame:
+    """``kernel(ids, bytes, side)`` over every cell, one cell in memory at a time;
+    cells of one row only if ``alone``. ``side`` is None for a whole cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(cell: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +141,11 @@ def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list
             if len(ids) < 2 - alone:
                 return
             side = np.concatenate([np.asarray(b.column(1)) for b in cell])
-            size = dim * np.dtype(kind).itemsize
-            raw = [np.frombuffer(b.column(3).buffers()[2], np.uint8)[int(np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset]) :][: b.num_rows * size] for b in cell]
-            codes = np.concatenate(raw).view(kind).reshape(len(ids), dim)
-            home, side = np.where(side < 8, 1 + (side >> 2) % 2, 0), side % 4
+            data = np.concatenate([unpacked_rows(b.column(3), width) for b in cell])
             for s in (None, 0):  # a cell is whole (side 0) or a pair of blocks (sides 1, 2)
                 m = side == 0 if s is None else side != 0
                 if m.sum() > 1 - (alone and s is None):
-                    out = kernel(ids[m], codes[m], None if s is None else side[m], home[m])
+                    out = kernel(ids[m], data[m], None if s is None else side[m])
                     if len(out[0]):
                         yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -175,11 +193,11 @@ def candidates(df: DataFrame, *, k: int, least: float, dim: int, tables: int, fu
     n = df.count()
     plan = H.plan_for(n, dim, tables=tables, functions=functions, width=width, probes=probes, bits=8)
 
-    def kernel(ids: np.ndarray, codes: np.ndarray, side: np.ndarray | None, home: np.ndarray) -> list[pa.Array]:
-        a, b, v, e = H.top_pairs(ids, codes, 2 * k, least, side)
+    def kernel(ids: np.ndarray, data: np.ndarray, side: np.ndarray | None) -> list[pa.Array]:
+        a, b, v, e = H.top_pairs(ids, data.view(np.int8), 2 * k, least, side)
         return [pa.array(a), pa.array(b), pa.array(v), pa.array(e)]
 
-    found = by_cell(cells(df, plan, n), kernel, ["id", "other", "est", "err"], "id long, other long, est float, err float", dim, 8)
+    found = by_cell(cells(df, unit_reader(dim, 8), H.Hasher(plan), n), kernel, ["id", "other", "est", "err"], "id long, other long, est float, err float", dim)
     best = found.groupBy("id", "other").agg(F.max("est").alias("est"), F.max("err").alias("err"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("est"), "other"))
     return best.withColumn("nth", nth).where(F.col("nth") <= 2 * k)
