@@ -29,6 +29,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(spark.read.parquet(f"{d}/segment.parquet"), "vec_id", "sv_feat", k=5, least=0.9)
 
 
+@query
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from lecterna.llm.vectors import similar_vectors
+
+    # the search form: every row whose id is divisible by 100 is asked against all rows
+    got = similar_vectors(spark.read.parquet(f"{d}/segment.parquet"), "vec_id", "sv_feat", k=5, every=100)
+    return got.selectExpr("id as vec_id", "other", "round(similarity, 5) as similarity", "rank")
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from lecterna.llm.voices import voices_found

@@ -28,6 +28,8 @@ from lecterna.plans.lineage import written
 BLOCK = 30_000
 #: At most so many buckets can exceed the cap, as the cap is copies * n / MOST_HEAVY at least.
 MOST_HEAVY = 10_000
+#: Bytes that a task reads of the rows to compare, whatever their number.
+TASK_BYTES = 16 << 20
 #: Pairs of which so many may be sent to every task: 16 bytes each.
 SMALL = 300_000
 
@@ -131,9 +133,10 @@ def cells(df: DataFrame, read: Reader, hasher: H.Hasher | H.Polytope, n: int, *,
     return df.mapInArrow(_hash(read, hasher, heavy, grid), CELLS)
 
 
-def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list[str], schema: str, width: int, *, alone: bool = False) -> DataFrame:
+def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list[str], schema: str, width: int, rows: int, *, alone: bool = False) -> DataFrame:
     """``kernel(ids, bytes, side)`` over every cell, one cell in memory at a time;
-    cells of one row only if ``alone``. ``side`` is None for a whole cell."""
+    cells of one row only if ``alone``. ``side`` is None for a whole cell. There
+    are about ``rows`` rows in ``parts``: a task reads ``TASK_BYTES`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(cell: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,8 @@ def by_cell(parts: DataFrame, kernel: Callable[..., list[pa.Array]], names: list
         if open_:
             yield from work(open_)
 
-    return parts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+    tasks = max(parts.sparkSession.sparkContext.defaultParallelism, -(-rows * (width + 24) // TASK_BYTES))
+    return parts.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -187,28 +191,33 @@ def measured(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return out.withColumn("similarity", cosine(F.col("x"), F.col("y"))).drop("x", "y")
 
 
-def candidates(df: DataFrame, *, k: int, least: float, dim: int, tables: int, functions: int, width: float, probes: int) -> DataFrame:
-    """(id, other, est, err): of every vector of ``df`` (id, vec) the best
-    candidates of all tables, twice as many as are wanted, by 8-bit similarity."""
+def candidates(df: DataFrame, *, k: int, least: float, dim: int, tables: int, functions: int, width: float, probes: int, every: int = 1) -> DataFrame:
+    """(id, other, est, err): of every vector of ``df`` (id, vec) whose id is a
+    multiple of ``every`` the best candidates of all tables among all vectors, twice
+    as many as are wanted, by 8-bit similarity."""
     n = df.count()
     plan = H.plan_for(n, dim, tables=tables, functions=functions, width=width, probes=probes, bits=8)
 
     def kernel(ids: np.ndarray, data: np.ndarray, side: np.ndarray | None) -> list[pa.Array]:
-        a, b, v, e = H.top_pairs(ids, data.view(np.int8), 2 * k, least, side)
+        a, b, v, e = H.top_pairs(ids, data.view(np.int8), 2 * k, least, side, every)
         return [pa.array(a), pa.array(b), pa.array(v), pa.array(e)]
 
-    found = by_cell(cells(df, unit_reader(dim, 8), H.Hasher(plan), n), kernel, ["id", "other", "est", "err"], "id long, other long, est float, err float", dim)
+    found = by_cell(cells(df, unit_reader(dim, 8), H.Hasher(plan), n), kernel, ["id", "other", "est", "err"], "id long, other long, est float, err float", dim, n * plan.copies)
     best = found.groupBy("id", "other").agg(F.max("est").alias("est"), F.max("err").alias("err"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("est"), "other"))
     return best.withColumn("nth", nth).where(F.col("nth") <= 2 * k)
 
 
+#: For pairs of a cosine of 0.9 or more.
 HOW = {"dim": 192, "tables": 2, "functions": 14, "width": 6.0, "probes": 1}
+#: For the neighbours of every vector, however alike they are.
+HOW_ANY = {"dim": 192, "tables": 4, "functions": 12, "width": 6.0, "probes": 1}
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, least: float = -1.0, **how: object) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, least: float = -1.0, every: int = 1, **how: object) -> DataFrame:
     """(id, other, similarity, rank): for every usable vector of ``df`` its
-    ``k`` most similar other vectors of cosine ``least`` or more.
+    ``k`` most similar other vectors of cosine ``least`` or more; with ``every``,
+    for those whose id is a multiple of it, against all.
 
     Vectors whose length isn't ``dim``, with a null, NaN or infinite value or
     all zero, and rows with a null id, have no row in the result. Repeated ids
@@ -218,9 +227,9 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, lea
     a vector by 8-bit similarity are ranked by their full cosine; recall against
     brute force grows with the similarity (the README has measured figures).
     """
-    h = {**HOW, **how}
+    h = {**HOW_ANY, **how}
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    cand = written(candidates(base, k=k, least=least, **h).select("id", "other"), "candidates")
+    cand = written(candidates(base, k=k, least=least, every=every, **h).select("id", "other"), "candidates")
     true = measured(cand, base).where(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return true.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "similarity", "rank")
