@@ -142,6 +142,17 @@ def test_best_fit_is_the_tightest_bin():
     assert len(set(copies)) == 6
 
 
+def test_a_source_fills_its_share_alone():
+    sizes, sources = np.array([60, 30, 20, 20, 10]), np.array([0, 0, 0, 1, 1])
+    bins = packing.best_fit(sizes, np.arange(5), sources, 100, 0.75)
+    for b in set(bins):
+        for src in (0, 1):
+            m = (bins == b) & (sources == src)
+            assert sizes[m].sum() <= 75 or m.sum() == 1
+    # the tightest bin conflicts, the next one is taken
+    assert bins[1] != bins[0] and bins[3] == bins[0]
+
+
 DOC = "doc_id long, text string, source string, tokens string"
 BOX = "container_id long, name string, capacity_tokens int"
 PATH = f"{TOKENIZERS}/{VOCABULARY}"
@@ -159,6 +170,9 @@ def test_packing_keeps_everything(spark):
         pieces = g[g.item == 500]
         n = count("long " * 1000, PATH)
         assert len(pieces) == -(-n // cap) and (g.item == 3).sum() == 3 and g[g.item == 3].bin.nunique() == 3
+    near = spark.createDataFrame([(i, x, "A", "") for i, x in enumerate(["One lamp.", "one lamp", "ONE  LAMP!", "two lamps", "...", "?!"])], DOC)
+    bins = {r["item"]: r["bin"] for r in packing.packed(near, spark.createDataFrame([(1, "s", 128)], BOX), most_share=1.0).collect()}
+    assert len({bins[i] for i in range(3)}) == 3 and len(set(bins.values())) == 3
     assert packing.packed(spark.createDataFrame([], DOC), spark.createDataFrame([(1, "s", 128)], BOX)).count() == 0
 
 
