@@ -38,31 +38,44 @@ class Boosted:
         return self
 
     def _tree(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """One tree, level by level; of two children the smaller one is counted and
+        the other is what its parent has besides."""
         n, d = b.shape
-        size = 2 ** (self.depth + 1) - 1
+        size, width = 2 ** (self.depth + 1) - 1, self.bins + 1
         feat, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
         node = np.zeros(n, np.int64)
+
+        def histogram(m: np.ndarray) -> np.ndarray:
+            flat = (b[m].astype(np.int32) + np.arange(d, dtype=np.int32) * width).ravel()
+            return np.stack([np.bincount(flat, np.repeat(z[m], d) if z is not None else None, d * width) for z in (g, h, None)])
+
+        rows = {0: np.arange(n)}
+        hist = {0: histogram(rows[0])}
         for at in range(size):
-            m = np.nonzero(node == at)[0]
-            if not len(m):
+            m = rows.pop(at, None)
+            if m is None or not len(m):
+                hist.pop(at, None)
                 continue
             gs, hs = g[m].sum(), h[m].sum()
             value[at] = -gs / (hs + self.l2)
-            if at >= 2**self.depth - 1 or len(m) < 2 * self.least:
+            mine = hist.pop(at, None)
+            if at >= 2**self.depth - 1 or len(m) < 2 * self.least or mine is None:
                 continue
-            flat = (b[m].astype(np.int64) + np.arange(d) * (self.bins + 1)).ravel()
-            shape = d * (self.bins + 1)
-            hg = np.bincount(flat, np.repeat(g[m], d), shape).reshape(d, -1).cumsum(1)
-            hh = np.bincount(flat, np.repeat(h[m], d), shape).reshape(d, -1).cumsum(1)
-            hn = np.bincount(flat, minlength=shape).reshape(d, -1).cumsum(1)
-            gain = hg**2 / (hh + self.l2) + (gs - hg) ** 2 / (hs - hh + self.l2) - gs**2 / (hs + self.l2)
+            hg, hh, hn = mine.reshape(3, d, width).cumsum(2)
+            gain = hg**2 / (hh + self.l2) + (gs - hg) ** 2 / (np.maximum(hs - hh, 0) + self.l2) - gs**2 / (hs + self.l2)
             gain[(hn < self.least) | (len(m) - hn < self.least)] = -1
             k = int(gain.argmax())
             if gain.flat[k] <= 1e-6:
                 continue
-            feat[at], cut[at] = divmod(k, self.bins + 1)
+            feat[at], cut[at] = divmod(k, width)
             right = b[m, feat[at]] > cut[at]
+            kids = {2 * at + 1: m[~right], 2 * at + 2: m[right]}
             node[m] = 2 * at + 1 + right
+            rows |= kids
+            if 2 * at + 1 < 2**self.depth - 1:
+                small, large = sorted(kids, key=lambda z: len(kids[z]))
+                hist[small] = histogram(kids[small])
+                hist[large] = mine - hist[small]
         return (feat, cut, value), value[node]
 
     def score(self, x: np.ndarray) -> np.ndarray:

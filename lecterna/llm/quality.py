@@ -7,8 +7,10 @@ rather than items. The trees are fitted on a bounded sample of documents with
 weak labels by structure (``SAMPLE`` rows, the smallest by hash), with the same
 texts broken on purpose as junk, and calibrated on a hand-checked holdout.
 
-Scale: two narrow passes over the documents; the tables have ``SLOTS`` hashed
-counters whatever the corpus holds, added up in the tasks before the shuffle.
+Scale: three narrow passes over the documents, of which that for the sample reads
+texts below a hash bound only; the tables have ``SLOTS`` hashed counters whatever
+the corpus holds, added up in the tasks before the shuffle. Characters are counted
+by translation to classes and by NumPy over code points.
 """
 
 from __future__ import annotations
@@ -39,10 +41,54 @@ _TERMINAL = ".。!?！？؟।…"
 _SEPARATORS = [";", "；", "、", "，", ",", " / ", " | ", "·", "•"]
 _GLOSS = re.compile(r"^[^.。!?！？|\t]{1,60}?\s?(?: - | — | – | = |[:：]|→)\s?[^.。!?！？|\t]{1,60}$")
 _CELL = re.compile(r"^\s*[\"']?(?:[\d.,:%\-]+|)[\"']?\s*$")
-_PIECE = re.compile(r"[A-Za-zÀ-ɏͰ-Ͽ؀-ۿЀ-ӿऀ-ॿ가-힣]+|[぀-ヿ㐀-鿿฀-๿]")
 _WORDS = re.compile(r"[\wऀ-ॿ฀-๿]+")
 _NOT_LETTERS = re.compile(r"(?:(?![ऀ-ॿ฀-๿؀-ۿ])[\d\W_])+")
 _TAG = re.compile(r"</?(?:tr|td|th|table|tbody|li|ul|ol)\b[^>]*>", re.I)
+_TERMINALS = re.compile(r"[。!?！？؟।]|\.(?=\s|$)")
+#: Letters of spaced scripts, and signs of scripts without blanks.
+_SPACED = "A-Za-zÀ-ɏͰ-Ͽ؀-ۿЀ-ӿऀ-ॿ가-힣"
+_PIECE = re.compile(rf"[{_SPACED}]+")
+_KINDS = np.zeros(0x10000, np.uint8)
+for _a, _b in (("A", "Z"), ("a", "z"), ("À", "ɏ"), ("Ͱ", "Ͽ"), ("؀", "ۿ"), ("Ѐ", "ӿ"), ("ऀ", "ॿ"), ("가", "힣")):
+    _KINDS[ord(_a) : ord(_b) + 1] = 1
+for _a, _b in (("぀", "ヿ"), ("㐀", "鿿"), ("฀", "๿")):
+    _KINDS[ord(_a) : ord(_b) + 1] = 2
+
+
+class _Classes(dict):
+    """For str.translate: l and u letters with case, a other letters, e and d
+    digits that count as letters or not, s blanks, o signs of broken texts, x others."""
+
+    def __missing__(self, o: int) -> str:
+        c = chr(o)
+        letter = c.isalpha() or "\u0300" <= c <= "\u036f" or "฀" <= c <= "๿" or "ऀ" <= c <= "ॿ"
+        if c.isdigit():
+            k = "e" if letter else "d"
+        elif c.isspace():
+            k = "s"
+        elif "\x80" <= c <= "¿" and c not in "«»¿¡°±§·" or c == "\ufffd":
+            k = "o"
+        elif letter:
+            k = "l" if c.islower() else "u" if c.isupper() else "a"
+        else:
+            k = "x"
+        self[o] = k
+        return k
+
+
+_CLASSES = _Classes()
+
+
+def points(v: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A slot for each pair of code points."""
+    h = a * np.uint32(0x9E3779B1) ^ (b + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(15)
+    return (h * np.uint32(0x2C1B3C6D) >> np.uint32(32 - 18)).astype(np.int64)
 
 
 def _slot(s: str) -> int:
@@ -57,57 +103,84 @@ def slots(parts: list[str]) -> np.ndarray:
     for i, p in enumerate(parts):
         k = _memo.get(p)
         if k is None:
-            k = _slot(p)
+            k = _slot(p if not "가" <= p[0] <= "힣" else "~" + p[-2:])
             if len(_memo) < 500_000:
                 _memo[p] = k
         out[i] = k
     return out
 
 
-def pairs_of(v: str) -> list[str]:
-    """Character pairs of letters and blanks, lower case."""
-    v = _NOT_LETTERS.sub(" ", v.lower())
-    return [a + b for a, b in zip(v, v[1:])]
-
-
-def units(v: str) -> list[str]:
-    """Words of spaced scripts, endings of Korean words, and character pairs of the others."""
-    ps = _PIECE.findall(v.lower())
-    out = []
-    last = ""
-    for p in ps:
-        if len(p) == 1 and not p.isascii():
-            if last:
-                out.append(last + p)
-            last = p
-        else:
-            out.append(p if not "가" <= p[0] <= "힣" else "~" + p[-2:])
-            last = ""
-    return out
+def pairs_of(v: str) -> np.ndarray:
+    """Slots of the character pairs of letters and blanks, lower case."""
+    cp = points(_NOT_LETTERS.sub(" ", v.lower()))
+    return _mixed(cp[:-1], cp[1:])
+
+
+def units(v: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, line) of the words of spaced scripts (of Korean ones the endings) and
+    of the character pairs of the others; the line of a pair across lines is -1."""
+    v = v.lower()
+    cp = points(v)
+    kind = np.where(cp < 0x10000, _KINDS[np.minimum(cp, 0xFFFF)], 0)
+    line = np.cumsum(cp == 10)
+    word = kind == 1
+    begin = np.nonzero(word & ~np.r_[False, word[:-1]])[0]
+    own, at = slots(_PIECE.findall(v)), line[begin]
+    wide = np.nonzero(kind == 2)[0]
+    if len(wide) > 1:
+        # signs follow each other if no word lies between them
+        after = np.cumsum(word)[wide]
+        m = after[1:] == after[:-1]
+        first, second = wide[:-1][m], wide[1:][m]
+        own = np.r_[own, _mixed(cp[first], cp[second])]
+        at = np.r_[at, np.where(line[first] == line[second], line[second], -1)]
+    return own, at
+
+
+def variety(v: str) -> float:
+    """Distinct character quadruples by place."""
+    if len(v) < 4:
+        return 0.0
+    cp = points(v).astype(np.uint64)
+    h = ((cp[:-3] << np.uint64(42)) | (cp[1:-2] << np.uint64(21)) | cp[2:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ cp[3:] * np.uint64(0xD6E8FEB86659FD93)
+    return len(np.unique(h)) / (len(v) - 3)
 
 
 def lines_of(v: str) -> list[str]:
     return [x for x in v.split("\n") if x.strip()]
 
 
-def table_shape(lines: list[str]) -> tuple[float, float, float]:
-    """(share of the text in rows of the commonest cell count, cells a row, share of short or numeric cells)."""
+#: (sign that must occur, how a row is cut)
+_CUTS = [("\t", None), ("|", re.compile(r"\s*\|\s*")), (";", None), (",", None), ("  ", re.compile(r"[ ]{2,}")), ("</t", re.compile(r"</t[dh]>"))]
+
+
+def table_shape(lines: list[str], also_without_first: bool = False) -> tuple[float, float, float]:
+    """(share of the text in rows of the commonest cell count, cells a row, share
+    of short or numeric cells); with ``also_without_first``, of the lines without the
+    first one if their share is larger."""
     best = (0.0, 0.0, 0.0)
     if len(lines) < 2:
         return best
-    total = sum(map(len, lines))
-    for cut in (r"\t", r"\s*\|\s*", r";", r",", r"[ ]{2,}", r"</t[dh]>"):
-        cells = [[c for c in re.split(cut, x.strip(" ").strip("|").strip(" ") if cut == r"\t" else x.strip().strip("|").strip())] for x in lines]
-        n = Counter(len(c) for c in cells if len(c) > 1)
-        if not n:
+    size = np.array([len(x) for x in lines])
+    for sign, cut in _CUTS:
+        if not any(sign in x for x in lines):
             continue
-        k, _ = max(n.items(), key=lambda z: (z[1] * (z[0] > 2) or z[1] * 0.5, z[0]))
-        rows = [c for c in cells if len(c) == k]
-        share = sum(len(x) for x, c in zip(lines, cells) if len(c) == k) / total
-        flat = [c for r in rows for c in r]
-        plain = sum(bool(_CELL.match(c)) for c in flat) / len(flat)
-        if share * (k > 2 or plain > 0.2) > best[0]:
-            best = (share, float(k), plain)
+        bare = [x.strip(" ").strip("|").strip(" ") if sign == "\t" else x.strip().strip("|").strip() for x in lines]
+        cells = [x.split(sign) if cut is None else cut.split(x) for x in bare]
+        count = np.array([len(c) for c in cells])
+        for first in (0, 1) if also_without_first and len(lines) > 2 else (0,):
+            n = Counter(k for k in count[first:].tolist() if k > 1)
+            if not n:
+                continue
+            k, _ = max(n.items(), key=lambda z: (z[1] * (z[0] > 2) or z[1] * 0.5, z[0]))
+            rows = np.nonzero(count[first:] == k)[0] + first
+            share = float(size[rows].sum() / size[first:].sum())
+            if share <= best[0]:
+                continue
+            flat = [c for r in rows for c in cells[r]]
+            plain = sum(bool(_CELL.match(c)) for c in flat) / len(flat)
+            if k > 2 or plain > 0.2:
+                best = (share, float(k), plain)
     return best
 
 
@@ -127,63 +200,68 @@ class Measurer:
     def __call__(self, text: str) -> list[float]:
         v = speech.view(text)[0]
         n = max(1, len(v))
-        lines = lines_of(v)
+        every = v.split("\n")
+        there = [i for i, x in enumerate(every) if x.strip()]
+        lines = [every[i] for i in there]
         words = _WORDS.findall(v)
         body = lines[1:] if len(lines) > 3 else lines
-        letters = sum(c.isalpha() or "̀" <= c <= "ͯ" or "฀" <= c <= "๿" or "ऀ" <= c <= "ॿ" for c in v)
-        digits = sum(c.isdigit() for c in v)
-        blanks = sum(c.isspace() for c in v)
+        kinds = v.translate(_CLASSES)
+        both = kinds.count("e")
+        letters = kinds.count("l") + kinds.count("u") + kinds.count("a") + both
+        digits, blanks = kinds.count("d") + both, kinds.count("s")
         size = np.array([len(x) for x in lines] or [0], float)
         total = max(1.0, size.sum())
         bullets = [bool(_BULLET.match(x)) for x in lines]
-        ended = [x.rstrip()[-1:] in _TERMINAL or x.rstrip()[-2:-1] in _TERMINAL and x.rstrip()[-1:] in "\"”」』»)" for x in lines]
-        gloss = [bool(_GLOSS.match(x)) for x in body]
-        share, cells, plain = max(table_shape(lines), table_shape(lines[1:]), key=lambda z: z[0])
-        tags = sum(len(m) for m in _TAG.findall(v)) / n
+        ended = [x.rstrip()[-1:] in _TERMINAL or x.rstrip()[-2:-1] in _TERMINAL and x.rstrip()[-1:] in "\"”’」』»)" for x in lines]
+        gloss = sum(bool(_GLOSS.match(x)) for x in body)
+        share, cells, plain = table_shape(lines, True)
+        tags = sum(len(m) for m in _TAG.findall(v)) / n if "<" in v else 0.0
         flat = v.replace("\n", " ")
         seg, seg_len, spread = 1, float(len(flat)), 0.0
         for s in _SEPARATORS:
-            parts = [p.strip() for p in flat.split(s)]
-            if len(parts) > seg:
-                ls = np.array([len(p) for p in parts], float)
-                seg, seg_len, spread = len(parts), float(ls.mean()), float(ls.std() / max(ls.mean(), 1))
-        tail = len(re.findall(r"\(\d{1,3}\)", v)) / max(1, max(len(lines), seg))
+            if flat.count(s) >= seg:
+                ls = np.array([len(p.strip()) for p in flat.split(s)], float)
+                seg, seg_len, spread = len(ls), float(ls.mean()), float(ls.std() / max(ls.mean(), 1))
+        tail = len(re.findall(r"\(\d{1,3}\)", v)) / max(1, max(len(lines), seg)) if "(" in v else 0.0
         labelled = sum(speech.heads(x)[1] is not None for x in lines) / max(1, len(lines))
-        terminals = len(re.findall(r"[。!?！？؟।]|\.(?=\s|$)", v))
+        terminals = len(_TERMINALS.findall(v))
         ps = pairs_of(v)
-        lp = self.usual[slots(ps)] if ps else np.full(1, 4.0)  # nothing to tell
-        us = units(v)
-        od = self.odds[slots(us)] if us else np.zeros(1)
-        per = []
-        for x in body:
-            u = units(x)
-            per.append(float(self.odds[slots(u)].mean()) if u else 0.0)
+        lp = self.usual[ps] if len(ps) else np.full(1, 4.0)  # nothing to tell
+        us, at = units(v)
+        od = self.odds[us] if len(us) else np.zeros(1)
+        # the mean of each line of the body
+        m = at >= 0
+        hits = np.bincount(at[m], minlength=len(every)) if len(us) else np.zeros(len(every))
+        sums = np.bincount(at[m], od[m], minlength=len(every)) if len(us) else np.zeros(len(every))
+        own = np.array(there[len(lines) - len(body) :], int)
+        per_a = sums[own] / np.maximum(hits[own], 1) if len(own) else np.zeros(1)
         per_mass = np.array([len(x) for x in body] or [1], float)
-        per_a = np.array(per or [0.0])
-        odd = sum("\x80" <= c <= "¿" and not c.isspace() and c not in "«»¿¡°±§·" or c == "�" for c in v) / n
-        swaps = sum(a.islower() and b.isupper() for a, b in zip(v, v[1:])) / n
-        quads = {v[i : i + 4] for i in range(0, len(v) - 3)}
+        lengths = [len(w) for w in words]
         item = sum(s for s, b, e in zip(size, bullets, ended) if b or not e and s < 40) / total
         return [
-            math.log(n), math.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), (n - letters - digits - blanks) / n, digits / n, letters / n, blanks / n,
-            math.log(max(1, len(lines))), float(size.mean()), float(size.std() / max(1, size.mean())), sum(bullets) / max(1, len(lines)), sum(ended) / max(1, len(lines)), sum(gloss) / max(1, len(body)), 1 - len(set(lines)) / max(1, len(lines)),
+            math.log(n), math.log1p(len(words)), sum(lengths) / max(1, len(words)), (n - letters - digits - blanks) / n, digits / n, letters / n, blanks / n,
+            math.log(max(1, len(lines))), float(size.mean()), float(size.std() / max(1, size.mean())), sum(bullets) / max(1, len(lines)), sum(ended) / max(1, len(lines)), gloss / max(1, len(body)), 1 - len(set(lines)) / max(1, len(lines)),
             share, cells, plain, tags, math.log(seg), min(seg_len, 500.0), spread, min(tail, 2.0), labelled, terminals / n * 100, float((od > 1).mean()),
-            float(lp.mean()), float(np.quantile(lp, 0.2)), float(od.mean()), float((per_a * per_mass).sum() / per_mass.sum()), float(((per_a > 0) * per_mass).sum() / per_mass.sum()), odd, len(quads) / max(1, len(v) - 3), float(max(map(len, words), default=0)),
-            sum(v.count(q) for q in "\"“”«»「」") / n, swaps, item, float(bool(ended[0])) if ended else 0.0, sum(v.count(q) for q in ",，、") / n * 100,
+            float(lp.mean()), float(np.quantile(lp, 0.2)), float(od.mean()), float((per_a * per_mass).sum() / per_mass.sum()), float(((per_a > 0) * per_mass).sum() / per_mass.sum()), kinds.count("o") / n, variety(v), float(max(lengths, default=0)),
+            sum(v.count(q) for q in "\"“”«»「」") / n, kinds.count("lu") / n, item, float(bool(ended[0])) if ended else 0.0, sum(v.count(q) for q in ",，、") / n * 100,
         ]
 
 
+_BASE64 = re.compile(r"[A-Za-z0-9+/=\n]{40,}")
+
+
 def weak(text: str) -> str | None:
     """A label by plain structure, where it is beyond doubt; else None."""
     v = speech.view(text)[0]
     lines = lines_of(v)
     if len(v.strip()) < 12 or not lines:
         return None
-    letters = sum(c.isalpha() or "ऀ" <= c <= "ॿ" or "฀" <= c <= "๿" for c in v) / len(v)
-    quads = len({v[i : i + 4] for i in range(len(v) - 3)}) / max(1, len(v) - 3)
-    if (letters < 0.3 and sum(c.isdigit() for c in v) / len(v) < 0.15 and not any(c in v for c in "।")) or (quads < 0.15 and len(v) > 40 and len(lines) < 3) or re.fullmatch(r"[A-Za-z0-9+/=\n]{40,}", v) and re.search(r"[a-z][A-Z]\w*\d", v):
+    kinds = v.translate(_CLASSES)
+    letters = (kinds.count("l") + kinds.count("u") + kinds.count("a") + kinds.count("e")) / len(v)
+    digits = (kinds.count("d") + kinds.count("e")) / len(v)
+    if (letters < 0.3 and digits < 0.15 and "।" not in v) or (len(v) > 40 and len(lines) < 3 and variety(v) < 0.15) or _BASE64.fullmatch(v) and re.search(r"[a-z][A-Z]\w*\d", v):
         return "junk"
-    terminals = len(re.findall(r"[。!?！？؟।]|\.(?=\s|$)", v))
+    terminals = len(_TERMINALS.findall(v))
     body = lines[1:] if len(lines) > 3 else lines
     share, cells, plain = table_shape(body)
     if len(body) >= 3 and share > 0.95 and cells >= 3 and (plain > 0.2 or _TAG.search(v) or "|---" in v):
@@ -192,11 +270,10 @@ def weak(text: str) -> str | None:
         return "list"
     if len(lines) == 1 and terminals == 0:
         for s in (";", "；", "、", " / "):
-            parts = [p.strip() for p in v.split(s)]
-            if len(parts) >= 5 and max(map(len, parts)) < 45:
+            if v.count(s) >= 4 and max(len(p.strip()) for p in v.split(s)) < 45:
                 return "list"
-    thai = sum("฀" <= c <= "๿" for c in v) / len(v)
-    if thai > 0.6 and terminals == 0 and not any(_BULLET.match(x) for x in lines) and share < 0.5 and not re.search("[;,、，；/|(]", v) and len(v) / len(v.split()) > 14:
+    thai = sum("฀" <= c <= "๿" for c in v) / len(v) if terminals == 0 else 0
+    if thai > 0.6 and not any(_BULLET.match(x) for x in lines) and share < 0.5 and not re.search("[;,、，；/|(]", v) and len(v) / len(v.split()) > 14:
         return "prose"
     if terminals >= 3 and not any(_BULLET.match(x) for x in lines) and share < 0.5 and len(v) / terminals < 160 and letters > 0.6 and not re.search("[\x80-\x9f]", v):
         return "prose"
@@ -264,12 +341,10 @@ def tables_of(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 kind = weak(t)
                 if kind in ("prose", "list"):
                     v = speech.view(t)[0]
-                    s, n = np.unique(slots(pairs_of(v)), return_counts=True)
-                    c[0, s] += n
+                    np.add.at(c[0], pairs_of(v), 1)
                     if kind == "list":
                         v = "\n".join(_items(t))
-                    s, n = np.unique(slots(units(v)), return_counts=True)
-                    c[1 if kind == "prose" else 2, s] += n
+                    np.add.at(c[1 if kind == "prose" else 2], units(v)[0], 1)
         for k in range(3):
             at = np.nonzero(c[k])[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(c[k, at])], names=["k", "slot", "n"])
@@ -284,16 +359,31 @@ def tables_of(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return usual, odds
 
 
+#: Texts of each kind from which learning starts where the documents hold none of it.
+SEEDS = {
+    "prose": "We met at the gate in the morning. The road was dry, so we took the bicycles. Nobody was late.",
+    "list": "- rope\n- two lamps\n- dry socks\n- a map",
+    "table": "day,room,hour\nMon,12,9:00\nTue,14,10:30\nWed,12,8:15",
+}
+
+
 def trained(docs: DataFrame, usual: np.ndarray, odds: np.ndarray, sample: int = SAMPLE) -> Boosted:
-    """The kind model, fitted on at most ``sample`` weakly labelled texts and texts made of them."""
+    """The kind model, fitted on at most ``sample`` weakly labelled texts and texts
+    made of them. Labels are sought among the texts of the smallest hashes, about
+    eight times ``sample`` of them; of each kind those of the smallest hashes are taken."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t and len(t) < 20_000]
+            texts = b.column(0).to_pylist()
             kinds = [weak(t) for t in texts]
-            keep = [(t, k) for t, k in zip(texts, kinds) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keep], pa.string()), pa.array([k for _, k in keep], pa.string())], names=["text", "kind"])
-
-    labelled = written(docs.mapInArrow(run, "text string, kind string").distinct(), "labelled")
+            m = pa.array([k is not None for k in kinds])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), pa.array(kinds, pa.string()).filter(m)], names=["text", "kind"])
+
+    n = docs.count()
+    part = min(1.0, 8 * sample / max(n, 1))
+    some = docs.where("text <> ''")
+    if part < 1:
+        some = some.where(F.xxhash64("text") < F.lit(int(-(2**63) + part * 2**64)))
+    labelled = written(some.mapInArrow(run, "text string, kind string").dropDuplicates(["text"]), "labelled")
     # the smallest hashes of each kind: a fixed sample, whatever the order of the rows
     rows = []
     for kind in KINDS:
@@ -304,9 +394,9 @@ def trained(docs: DataFrame, usual: np.ndarray, odds: np.ndarray, sample: int =
     sure = lambda t: (x := m(t))[at["usual"]] > 1.2 and x[at["speaks"]] > 0 and "�" not in t
     rows = [(t, k) for t, k in rows if k != "prose" or sure(t)]
     g = np.random.default_rng(3)
-    prose = [t for t, k in rows if k == "prose"] or [t for k, t in HOLDOUT if k == "prose"]
-    lists = [t for t, k in rows if k == "list"] or [t for k, t in HOLDOUT if k == "list"]
-    tables = [t for t, k in rows if k == "table"] or [t for k, t in HOLDOUT if k == "table"]
+    prose = [t for t, k in rows if k == "prose"] or [SEEDS["prose"]]
+    lists = [t for t, k in rows if k == "list"] or [SEEDS["list"]]
+    tables = [t for t, k in rows if k == "table"] or [SEEDS["table"]]
     made: list[tuple[str, str]] = []
     for i in range(len(prose)):
         made.append((broken(prose[i], g), "junk"))
