@@ -87,6 +87,68 @@ def test_turns_survive_partition_borders(spark):
     assert {(r["stream_id"], r["first_idx"], r["last_idx"]) for r in got.collect()} == want
 
 
+def turns_by_definition(rows, model):
+    """rows (stream, idx, begin, end, who, open) in order, decoded as a whole."""
+    t = {c: np.array(v) for c, v in zip(("stream_id", "idx", "begin_ms", "end_ms", "who", "open"), zip(*rows))}
+    gap, opened, hard = turns._sides(t)
+    who = model.segment(t["who"], gap, opened, hard)
+    seg = turns._segments({**t, "body": np.array([None] * len(rows), object)}, who, "", False)
+    return set(zip(*(np.asarray(seg[c]).tolist() for c in ("stream_id", "first_idx", "last_idx", "speaker"))))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_unknown_speakers_over_any_partitions(spark, parts):
+    g = np.random.default_rng(5)
+    rows, at = [], 0
+    for i in range(400):
+        at += int(g.choice([200, 900, 2500, 31_000], p=[0.5, 0.3, 0.19, 0.01]))
+        who = -1 if 100 <= i < 160 or g.random() < 0.4 else int(i // 9 % 3) + 1
+        rows.append((1 + i // 250, i, at, at + 300, who, bool(g.random() < 0.5)))
+        at += 300
+    df = spark.createDataFrame([(*r, "x") for r in rows], "stream_id long, idx int, begin_ms long, end_ms long, who long, open boolean, body string")
+    model = turns._learnt(df)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = turns._joined_ends(turns._decoded(df, model, True)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {(r["stream_id"], r["first_idx"], r["last_idx"], r["speaker"]) for r in got} == turns_by_definition(rows, model)
+    assert all(len(r["body"].split("\n")) == r["n"] for r in got)
+
+
+def test_decoding_is_exact_and_learnt():
+    g = np.random.default_rng(2)
+    model = turns.SemiMarkov({(d, b, o, x): int(g.integers(0, 50)) for d in (0, 1) for b in range(13) for o in (0, 1) for x in (0, 1)})
+    for _ in range(30):
+        n = int(g.integers(3, 9))
+        known = g.choice([1, 2, 3, -1], n, p=[0.2, 0.2, 0.1, 0.5])
+        if (known != -1).sum() < 2:
+            continue
+        gap, opened = g.integers(0, 7000, n), g.random(n) < 0.5
+        hard = np.arange(n) == 0
+        got = model.segment(known, gap, opened, hard)
+
+        def score(path):
+            v, d = 0.0, 0
+            for u in range(1, n):
+                same = path[u] == path[u - 1]
+                v += (model.stay if same else model.change)[d, min(gap[u] // 500, 12), int(opened[u])]
+                d = 1 if same else 0
+            return v
+
+        import itertools
+
+        near = lambda xs: next((int(x) for x in xs if x != -1), None)
+        free = [[int(k)] if k != -1 else sorted({near(known[i:]), near(known[:i][::-1])} - {None}) for i, k in enumerate(known)]
+        assert score(got) >= max(map(score, itertools.product(*free))) - 1e-9
+    # speakers change at long pauses in the data, and so they do where nobody is known
+    model = turns.SemiMarkov({(d, b, o, x): 100 if (b > 4) == x else 1 for d in (0, 1) for b in range(13) for o in (0, 1) for x in (0, 1)})
+    gap = np.array([0, 200, 200, 4000, 200])
+    assert model.segment(np.array([1, -1, -1, -1, 2]), gap, np.zeros(5, bool), np.arange(5) == 0).tolist() == [1, 1, 1, 2, 2]
+
+
 LEARN = (
     ["Dr. Quill wrote it. The class reads. It weighs approx. 9.7 kg. See Fig. 3 for it. Bring tape, string, etc. Then we go. The lab starts at 3 p.m. on Monday. We meet at 8 p.m. The class waits.", "She reads a kg of it, wrote it now, waits there, reads on and moves. We wrote and she waits. It reads well now and good men wrote. The good class moves now."] * 30
     + ["Nehmt z. B. das zweite Beispiel. Der Wert liegt bei ca. 6,15. Das ist leicht, d. h. wir üben. Am 5. Mai schreiben wir. Heute lernen wir. Die Klasse ist da.", "Wir üben da und üben hier. Das Beispiel schreiben wir da. Wir lernen da mehr."] * 30
