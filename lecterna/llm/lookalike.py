@@ -4,7 +4,9 @@ Compatibility forms are folded and invisible characters deleted; then every
 word with letters that other scripts draw alike is read again: the lattice of
 all look-alike spellings is searched by Viterbi under character bigram scores
 that keep to one script. The lattice depends on the look of the word alone, so
-two words that look the same get the same spelling, whatever they held before.
+two words that look the same get the same spelling, whatever they held before. A
+letter that is drawn like several others (a bar that may be an l or an I) has all of
+them in its lattice, and the letters around it decide.
 
 Scale: one pass counts the letter pairs of all texts (three alphabets, so at
 most some hundred thousand counters, combined before the shuffle), one pass
@@ -13,6 +15,7 @@ reads the texts; only 16-byte hashes of the forms meet in the join.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lecterna.llm.speech import LOOK_ALIKES, fold
+from lecterna.llm.speech import AMBIGUOUS, LOOK_ALIKES, fold
 
 _CLASS: dict[str, list[str]] = {}
 for _c, _latin in LOOK_ALIKES.items():
@@ -32,8 +35,13 @@ for _c, _latin in LOOK_ALIKES.items():
 
 
 def script(c: str) -> int:
-    o = ord(c)
-    return 1 if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else 2 if 0x400 <= o <= 0x52F else 3 if 0x530 <= o <= 0x58F else 0
+    """The alphabet of a letter, -1 for a combining mark alone."""
+    o = ord(c[0])
+    if 0x300 <= o <= 0x36F:
+        return -1
+    if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF:
+        return 1
+    return 2 if 0x400 <= o <= 0x52F else 3 if 0x530 <= o <= 0x58F else 4 if 0x13A0 <= o <= 0x13FF else 5 if 0xA4D0 <= o <= 0xA4FF else 6 if 0x2C80 <= o <= 0x2CFF else 0
 
 
 class _Fold(dict):
@@ -43,9 +51,10 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
-#: Words of the alphabets that share look-alikes: Latin, Greek, Cyrillic, Armenian.
-WORD = re.compile("[A-Za-zÀ-ɏͰ-Ͽἀ-῿Ѐ-ԯ԰-֏Ḁ-ỿ]+")
-_FOREIGN = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ԰-֏]")
+#: Words of the alphabets that share look-alikes: Latin, Greek, Cyrillic, Armenian, Cherokee, Lisu, Coptic.
+_OTHERS = "Ͱ-Ͽἀ-῿Ѐ-ԯ԰-֏Ꭰ-Ᏽꓐ-ꓷⲀ-ⳤ"
+WORD = re.compile(f"[A-Za-zÀ-ɏḀ-ỿ\u0300-\u036f{_OTHERS}]+")
+_FOREIGN = re.compile(f"[{_OTHERS}]")
 
 
 def plain(text: str) -> str:
@@ -55,9 +64,23 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(_FOLD))
 
 
+@functools.lru_cache(1 << 16)
+def drawn(c: str) -> str:
+    """A letter as drawn: its base by the Latin letter it looks like, with its accents."""
+    base, *marks = unicodedata.normalize("NFD", c)
+    return unicodedata.normalize("NFC", "".join((LOOK_ALIKES.get(base, base), *marks)))
+
+
+@functools.lru_cache(1 << 16)
+def readings(c: str) -> list[str]:
+    """The letters that look like the drawn letter ``c``, with its accents; the Latin ones first."""
+    base, *marks = unicodedata.normalize("NFD", c)
+    return [unicodedata.normalize("NFC", "".join((x, *marks))) for x in [*AMBIGUOUS.get(base, ""), *_CLASS.get(base, [base])]]
+
+
 def look(word: str) -> str:
-    """The word as drawn: each letter by the Latin letter it looks like."""
-    return "".join(LOOK_ALIKES.get(c, c) for c in word)
+    """The word as drawn."""
+    return unicodedata.normalize("NFC", "".join(map(drawn, word)))
 
 
 def pairs(texts: Iterable[str]) -> Counter:
@@ -68,7 +91,7 @@ def pairs(texts: Iterable[str]) -> Counter:
     out: Counter = Counter()
     for w, n in words.items():
         w = w.lower()
-        if len({script(c) for c in w}) == 1:
+        if len({script(c) for c in w} - {-1}) == 1:
             for a, b in zip(" " + w, w + " "):
                 out[a + b] += n
     return out
@@ -89,7 +112,7 @@ class Speller:
     def score(self, a: str, b: str) -> float:
         a, b = a.lower(), b.lower()
         s = math.log((self.counts.get(a + b, 0) + 0.1) / (self.total + 100))
-        if " " not in (a, b) and script(a) != script(b):
+        if " " not in (a, b) and script(a) != script(b) and -1 not in (script(a), script(b)):
             s += self.SWITCH
         return s
 
@@ -101,7 +124,7 @@ class Speller:
         paths = {" ": (0.0, "")}
         for c in key:
             step: dict[str, tuple[float, str]] = {}
-            for b in _CLASS.get(c, [c]):
+            for b in readings(c):
                 for a, (s, p) in paths.items():
                     t = s + self.score(a, b)
                     if b not in step or t > step[b][0] + 1e-9:
@@ -126,13 +149,13 @@ class Speller:
     def foreign(self) -> bool:
         """Whether the texts hold words of another script than Latin at all."""
         if "_foreign" not in self.__dict__:
-            self.__dict__["_foreign"] = any(script(c) for ab in self.counts for c in ab)
+            self.__dict__["_foreign"] = any(script(c) > 0 for ab in self.counts for c in ab)
         return self.__dict__["_foreign"]
 
     @staticmethod
     def doubtful(word: str) -> bool:
         """Not a word that has a letter which only Latin has, and no others."""
-        return bool(_FOREIGN.search(word)) or all(c in _CLASS for c in word)
+        return bool(_FOREIGN.search(word)) or all(len(readings(c)) > 1 for c in word)
 
 
 def pair_counts(texts: DataFrame) -> dict[str, int]:

@@ -12,10 +12,16 @@ LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
     "ο": "o", "ν": "v", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "օ": "o",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "յ": "j", "Օ": "O", "Տ": "S", "Ս": "U",
+    "ѵ": "v", "Ѵ": "V", "Ԍ": "G", "ϲ": "c", "Ϲ": "C", "ϳ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓳ": "O", "ꓴ": "U",
+    "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
 }
+#: Letters without a serif, drawn like each of several Latin letters; the word tells which.
+AMBIGUOUS = {"ӏ": "lI", "Ӏ": "Il", "ꓲ": "Il"}
 OTHER_ALIKES = {
-    "‐": "-", "‑": "-", "−": "-", "∶": ":", "∣": "|", "ǀ": "|", "⁄": "/", "∕": "/", "‚": ",", "∙": "·", "⋅": "·", "ʼ": "’", "ɑ": "a", "ɡ": "g", "ꓲ": "I",
+    "‐": "-", "‑": "-", "−": "-", "∶": ":", "∣": "|", "ǀ": "|", "⁄": "/", "∕": "/", "‚": ",", "∙": "·", "⋅": "·", "ʼ": "’", "ɑ": "a", "ɡ": "g",
     "⺠": "民", "⻄": "西", "⻅": "见", "⻆": "角", "⻋": "车", "⻓": "长", "⻔": "门", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻢": "马", "⻥": "鱼", "⻦": "鸟", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻳": "龟", "⺟": "母", "⼾": "户", "⾼": "高",
 }
 #: Compatibility mappings that change what is seen.
@@ -55,7 +61,7 @@ class _Same(dict):
         c = chr(o)
         f = fold(c)
         f = "\0" if f == "" else f if len(f) == 1 else c
-        self[o] = f = LOOK_ALIKES.get(f, f)
+        self[o] = f = LOOK_ALIKES.get(f) or AMBIGUOUS.get(f, f)[0]
         return f
 
 

@@ -13,7 +13,7 @@ HYP_B = "stream_id long, idx int, asr_sensevoice_result struct<preds:string>"
 SEG = "vec_id long, stream_id long, seg_id int, sv_feat array<float>"
 
 SAME = [
-    ("Teacher: note", "Теаcher: note"), ("ABC 12", "ＡＢＣ　１２"), ("café", "café"), ("a b", "a b"), ("ab", "a​b"), ("小一", "⼩⼀"), ("了", "了"), ("각", "각"), ("fin", "ﬁn"), ("T", "Т"), ("a\tb", "a b"), ("x\n", "x\r\n"),
+    ("Teacher: note", "Теаcher: note"), ("ABC 12", "ＡＢＣ　１２"), ("café", "café"), ("a b", "a b"), ("ab", "a​b"), ("小一", "⼩⼀"), ("了", "了"), ("각", "각"), ("fin", "ﬁn"), ("T", "Т"), ("a\tb", "a b"), ("x\n", "x\r\n"), ("sè", "sѐ"), ("Übung", "Ü​bung"), ("SOUNDS", "ꓢꓳꓴꓠꓓꓢ"), ("hug", "հսց"), ("DATE", "ꭰᎪᎢᎬ".upper()),
 ]
 DIFFER = [("Teacher", "teacher"), ("cafe", "café"), ("门", "門"), ("a b", "ab"), ("a\nb", "a b"), ("好。", "好."), ("x2", "x²"), ("3", "4"), ("a  b", "a b")]
 
@@ -37,6 +37,13 @@ def test_script_by_context():
     assert s.form(long) == "Teacher " * 50_000
 
 
+def test_a_bar_is_read_by_its_word():
+    # no table of single letters can read it: l and I look different
+    s = lookalike.Speller(lookalike.pairs(["hello will all the little lamps fall in his inn it is in India"] * 20))
+    assert s.form("heӏӏo") == "hello" and s.form("ӏt") == "It" and s.form("ꓲn") == "In" and s.form("hello") != s.form("heIIo")
+    assert lookalike.look("heӏӏo") != lookalike.look("hello")
+
+
 def test_same_look_rows(spark):
     a = [(1, i, 0, x, None) for i, (x, _) in enumerate(SAME + DIFFER)] + [(1, 90, 0, None, None), (1, 91, 0, "", None), (None, 5, 0, "x", None), (2, 0, 0, "Теacher", None), (2, 0, 0, "Теacher", None)]
     b = [(1, i, (y,)) for i, (_, y) in enumerate(SAME + DIFFER)] + [(1, 90, ("x",)), (1, 91, ("",)), (2, 0, ("Teacher",)), (3, 1, None)]
