@@ -7,9 +7,13 @@ and collocations. Splitting: every period is classified by these statistics;
 other marks, quotations, brackets, line breaks and the blanks of scripts
 without marks follow fixed rules.
 
-Scale: the counts are combined in the tasks and shuffled once by word; only
-significant words return to the driver, tested at 1/100 000 of the corpus, so their
-number is bounded. Splitting is a narrow map without shuffle.
+Scale: the counts are combined in the tasks and shuffled once by word; words are
+tested where their counts lie, and only abbreviations, sentence starters and
+collocations, whose number the languages bound, return to the driver. The bars don't
+move with the size of the corpus. Splitting is a narrow map without shuffle.
+
+Words of alphabets with capitals (Latin, Greek, Cyrillic, Armenian) are counted;
+periods of other scripts always end a sentence.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lecterna.llm import speech
@@ -35,22 +39,32 @@ FUNCTION_WORDS = {
     "it": "il gli che della per non sono una oggi questo",
     "pt": "os as não uma com para hoje isto você que",
 }
+_NOT_LATIN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏]")
 _LANG = {w: k for k, ws in FUNCTION_WORDS.items() for w in ws.split()}
 
-#: A word of Latin letters with inner periods and apostrophes.
-WORD = r"[A-Za-zÀ-ɏ]+(?:['’\-][A-Za-zÀ-ɏ]+)*(?:\.[A-Za-zÀ-ɏ]+)*"
+#: Letters of alphabets with capitals.
+CASED = "A-Za-zÀ-ɏͰ-ϿЀ-ԯ԰-֏"
+#: A word of such letters with inner periods and apostrophes.
+WORD = rf"[{CASED}]+(?:['’\-][{CASED}]+)*(?:\.[{CASED}]+)*"
+_CASED = re.compile(f"[{CASED}]")
 _TOKEN = re.compile(rf"({WORD})(\.?)|(\d[\d.,:]*\d|\d)(\.?)(?=\s+({WORD}))")
 _START = re.compile(rf"(?:^|[!?\n。！？]|[!?]\"?|\A)[ \"“«¿¡]*({WORD})", re.M)
 _AFTER = re.compile(rf"({WORD}|\d+)\.[ ]+\"?({WORD})")
 
 
 def language(v: str) -> str:
-    """The language of a text's Latin words."""
-    votes = Counter(_LANG[w] for w in re.findall(r"[a-zà-ÿ]+", v.lower()) if w in _LANG)
+    """The language of a text's words of alphabets with capitals: by script, and for
+    Latin words by function words, if they are one word in twelve at least."""
+    words = re.findall(rf"[{CASED}]+", v.lower())
+    if _NOT_LATIN.search(v):
+        other = Counter("ru" if "Ѐ" <= w[i] <= "ԯ" else "el" if w[i] < "Ѐ" else "hy" for w in words for i in range(len(w)) if w[i] >= "Ͱ")
+        if sum(other.values()) * 3 > sum(map(len, words)):
+            return other.most_common(1)[0][0]
+    votes = Counter(_LANG[w] for w in words if w in _LANG)
     if not votes:
         return "en"
     lang, n = votes.most_common(1)[0]
-    return lang if n >= 2 or len(v) < 60 else "en"
+    return lang if n * 12 >= len(words) else "en"
 
 
 def observed(text: str) -> Counter:
@@ -61,7 +75,7 @@ def observed(text: str) -> Counter:
     out: Counter = Counter()
     v = speech.view(text)[0]
     v = v[speech.heads(v)[0] :]
-    if not re.search("[A-Za-z]", v):
+    if not _CASED.search(v):
         return out
     lang = language(v)
     cased = v != v.lower() and v != v.upper()
@@ -129,60 +143,71 @@ def learnt(texts: DataFrame) -> dict[str, Language]:
 
     counts = texts.mapInArrow(run, "lang string, kind string, w string, x string, n long").groupBy("lang", "kind", "w", "x").agg(F.sum("n").alias("n"))
     counts = written(counts, "counts")
-    # one row a word; pairs only where the word before the period is short enough to be an abbreviation
-    words = counts.where("kind <> 'p'").groupBy("lang", "w").pivot("kind", ["w", "d", "s", "u", "l", "o", "O"]).agg(F.sum("n")).fillna(0)
-    total = {r["lang"]: (r["n"], r["d"], r["s"]) for r in words.toDF("lang", "word", "n", "d", "s", "u", "l", "lower", "upper").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s")).collect()}
-    least = F.create_map(*[x for k, (n, _, _) in total.items() for x in (F.lit(k), F.lit(max(3, n // 100_000)))]) if total else None
-    if least is None:
+    # one row a word; every test runs where the counts are
+    words = counts.where("kind <> 'p'").groupBy("lang", "w").pivot("kind", ["w", "d", "s", "u", "l", "o", "O"]).agg(F.sum("n")).fillna(0).toDF("lang", "word", "n", "d", "s", "u", "l", "lower", "upper")
+    words = written(words, "words")
+    total = words.groupBy("lang").agg(F.sum("n").alias("n_all"), F.sum("d").alias("d_all"), F.sum("s").alias("s_all"))
+    out = {r["lang"]: Language() for r in total.select("lang").collect()}
+    if not out:
         return {}
-    w = words.toDF("lang", "word", "n", "d", "s", "u", "l", "lower", "upper")
-    frequent = w.where(F.greatest("d", "s") >= least[F.col("lang")]).collect()
-    pairs = counts.where((F.col("kind") == "p") & (F.col("w") == "#") & (F.col("n") >= least[F.col("lang")])).select("lang", "w", "x", "n").collect()
-    followers = lambda words: counts.where(F.col("kind") == "p").where(F.col("w").isin(words)).select("lang", "w", "x", "n").collect() if words else []
-    cases = lambda met: w.where(F.col("word").isin(met)).select("lang", "word", "lower", "upper").collect() if met else []
-    out = {k: Language() for k in total}
-    first = {(r["lang"], r["word"]): r for r in frequent}
-    for r in frequent:
-        n_all, d_all, s_all = total[r["lang"]]
-        know = out[r["lang"]]
-        if r["s"] >= 3 and r["s"] / max(r["n"], 1) > s_all / n_all and likelihood(r["s"], max(r["n"], r["s"]), s_all - r["s"], n_all - r["n"]) > 7.88:
-            know.starters.add(r["word"])
-    for r in frequent:
-        n_all, d_all, _ = total[r["lang"]]
-        know, x = out[r["lang"]], r["word"]
-        if x == "#" or r["d"] < 3:
-            continue
-        score = likelihood(r["d"], r["n"], d_all - r["d"], n_all - r["n"]) if r["d"] / r["n"] > d_all / n_all else 0.0
-        inner = x.count(".")
-        # length, inner periods and misses weigh as in the published method; a word followed by lower case proves itself
-        score *= math.exp(-len(x.replace(".", ""))) * (inner + 1) * math.exp(-min(50, 3 * (r["n"] - r["d"]) * len(x) / max(r["d"], 1)))
-        proven = r["l"] >= 3 and r["l"] >= 0.2 * r["d"] and r["d"] >= 0.8 * r["n"]
-        if score > 0.3 or proven or inner:
-            know.short[x] = r["u"] / max(1, r["u"] + r["l"])
+    c = F.col
+    w = words.join(F.broadcast(total), "lang")  # a row for each language
+    begins = (c("s") >= LEAST) & (c("s") / F.greatest(c("n"), F.lit(1)) > c("s_all") / c("n_all")) & (_ratio(c("s"), F.greatest("n", "s"), c("s_all") - c("s"), c("n_all") - c("n")) > BAR)
+    for r in w.where(begins).select("lang", "word").toLocalIterator():
+        out[r["lang"]].starters.add(r["word"])
+    # length, inner periods and misses weigh as in the published method; a word followed by lower case proves itself
+    inner = F.length("word") - F.length(F.replace(c("word"), F.lit("."), F.lit("")))
+    score = F.when(c("d") / c("n") > c("d_all") / c("n_all"), _ratio(c("d"), c("n"), c("d_all") - c("d"), c("n_all") - c("n"))).otherwise(0.0)
+    score = score * F.exp(-(F.length("word") - inner)) * (inner + 1) * F.exp(-F.least(F.lit(50), 3 * (c("n") - c("d")) * F.length("word") / c("d")))
+    proven = (c("l") >= LEAST) & (c("l") >= 0.2 * c("d")) & (c("d") >= 0.8 * c("n"))
+    short = w.where((c("word") != "#") & (c("d") >= LEAST)).where((score > 0.3) | proven | (inner > 0))
+    short = written(short.select("lang", "word", (c("u") / F.greatest(F.lit(1), c("u") + c("l"))).alias("share")), "short")
+    for r in short.toLocalIterator():
+        out[r["lang"]].short[r["word"]] = r["share"]
+    after = counts.where("kind = 'p'").select("lang", c("w").alias("word"), F.split_part("x", F.lit("."), F.lit(1)).alias("next"), c("x").alias("whole"), "n")
+    behind = after.join(short.select("lang", "word"), ["lang", "word"])
+    known = words.select("lang", c("word").alias("next"), "lower", "upper", c("s").alias("s_next"), c("n").alias("n_next"))
+    small = behind.select("lang", "next").distinct().join(known, ["lang", "next"]).where((c("lower") >= LEAST) & (c("lower") >= 0.15 * (c("lower") + c("upper"))))
+    for r in small.toLocalIterator():
+        out[r["lang"]].common.add(r["next"])
     # a word after which statements begin as anywhere, and hardly ever go on, merely ends many of them
-    short = sorted({x for k in out.values() for x in k.short})
-    after: dict[tuple[str, str], list[int]] = {}
-    seen: set[tuple[str, str]] = set()
-    for r in followers(short):
-        seen.add((r["lang"], r["x"].split(".")[0]))
-        got = after.setdefault((r["lang"], r["w"]), [0, 0])
-        got[0] += r["n"]
-        got[1] += r["n"] * (r["x"].split(".")[0] in out[r["lang"]].starters)
-    met = sorted({x for _, x in seen})
-    for r in cases(met):
-        if (r["lang"], r["word"]) in seen and r["lower"] >= 3 and r["lower"] >= 0.15 * (r["lower"] + r["upper"]):
-            out[r["lang"]].common.add(r["word"])
-    for lang, know in out.items():
-        for x in short:
-            n, begun = after.get((lang, x), [0, 0])
-            if x in know.short and know.short[x] > 0.85 and n and begun > 0.5 * n:
-                del know.short[x]
-    for r in pairs:
-        if (s := first.get((r["lang"], r["x"]))) is None or r["x"] not in out[r["lang"]].starters:
-            out[r["lang"]].pairs.add((r["w"], r["x"]))
+    begun = w.where(begins).select("lang", c("word").alias("next"), F.lit(1).alias("begun"))
+    rate = behind.join(begun, ["lang", "next"], "left").groupBy("lang", "word").agg((F.sum(c("n") * F.coalesce("begun", F.lit(0))) / F.sum("n")).alias("begun"))
+    for r in rate.where("begun > 0.5").toLocalIterator():
+        know = out[r["lang"]]
+        if know.short.get(r["word"], 0) > 0.85:
+            del know.short[r["word"]]
+    # collocations over a period: behind a number any word that begins no sentences elsewhere; behind a short word
+    # that hardly goes without its period one that follows it far more often than others, and mostly
+    pair = after.groupBy("lang", "word", "whole").agg(F.sum("n").alias("n")).where(c("n") >= LEAST)
+    number = pair.where("word = '#'")
+    for r in number.toLocalIterator():
+        if r["whole"] not in out[r["lang"]].starters:
+            out[r["lang"]].pairs.add(("#", r["whole"]))
+    ends = after.groupBy("lang", "word").agg(F.sum("n").alias("nw"))
+    firsts = after.groupBy("lang", "whole").agg(F.sum("n").alias("nx"))
+    every = after.groupBy("lang").agg(F.sum("n").alias("na"))
+    brief = words.where((F.length("word") <= 4) & (c("d") >= 0.8 * c("n"))).select("lang", "word")
+    tied = pair.where("word <> '#'").join(brief, ["lang", "word"]).join(ends, ["lang", "word"]).where("n > 0.5 * nw").join(firsts, ["lang", "whole"]).join(F.broadcast(every), "lang")
+    tied = tied.where((c("n") / c("nw") > c("nx") / c("na")) & (_ratio(c("n"), c("nw"), c("nx") - c("n"), c("na") - c("nw")) > BAR))
+    for r in tied.join(begun.withColumnRenamed("next", "whole"), ["lang", "whole"], "left_anti").select("lang", "word", "whole").toLocalIterator():
+        out[r["lang"]].pairs.add((r["word"], r["whole"]))
     return out
 
 
+#: A word, a pair or a start counts from so many occurrences.
+LEAST = 3
+#: The log-likelihood ratio from which a difference is significant.
+BAR = 7.88
+
+
+def _ratio(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """``likelihood`` over columns."""
+    ll = lambda k, n, p: k * F.log(F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))) + (n - k) * F.log(1 - F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
+    p = (a + b) / (na + nb)
+    return F.when((na > 0) & (nb > 0), 2 * (ll(a, na, a / na) + ll(b, nb, b / nb) - ll(a, na, p) - ll(b, nb, p))).otherwise(0.0)
+
+
 _OPEN = {"“": "”", "「": "」", "『": "』", "«": "»", "„": "“", "‘": "’", '"': '"', "《": "》"}
 _CLOSE = "”」』»\"’)]）】》"
 _BRACKET = {"(": ")", "[": "]", "【": "】", "（": "）"}
@@ -211,21 +236,23 @@ class Splitter:
             return False
         if after.isdigit() and before.isdigit():
             return False
-        if not (before.isascii() and before.isalnum()) and not "À" <= before <= "ɏ":
+        if not (before.isascii() and before.isalnum()) and not _CASED.match(before):
             return True
-        m = _PREV.search(v, max(begin, at - 40), at)
+        back = at  # where the token before the period may begin
+        while back > begin and (v[back - 1] in "'’-.,:_" or v[back - 1].isalnum()):
+            back -= 1
+        m = _PREV.search(v, back, at)
         prev = m[0] if m else before
         nxt = _NEXT.match(v, at + 1)
         word = nxt[1] or ""
         if after and after != " " and after not in _CLOSE:
             # no blank: a file name, an inner period, or a sentence set close
-            if after.isalpha() and after.isascii():
-                if _FILE.search(v, max(begin, at - 30), at) and _EXT.match(v, at + 1) and word.lower() not in know.starters:
+            if _CASED.match(after):
+                if _FILE.search(v, back, at) and _EXT.match(v, at + 1) and word.lower() not in know.starters:
                     return False
                 if len(prev) == 1 and prev.isalpha() and (len(word.split(".")[0]) == 1):
                     return False
-                inner = _PREV.search(v, max(begin, at - 40), at)
-                if inner and len(inner[0].rsplit(".", 1)[-1]) == 1 and inner[0][-1].isalpha() and len(word) <= 2:
+                if m and len(m[0].rsplit(".", 1)[-1]) == 1 and m[0][-1].isalpha() and len(word) <= 2:
                     return False
             elif after in ",;:)":
                 return False
@@ -237,7 +264,8 @@ class Splitter:
         if len(low.rsplit(".", 1)[-1]) == 1 and "." not in low and low.isalpha():
             return False
         if low not in know.short:
-            return True
+            # a collocation goes on over its period
+            return not (word[:1].isupper() and (low, word.lower()) in know.pairs)
         if not word:
             return not _is_wide(v[at + 1 :].lstrip(" ")[:1])
         share = know.short[low]
@@ -255,7 +283,7 @@ class Splitter:
     def starts(self, text: str) -> list[int]:
         """Places in ``text`` of the first character of each sentence."""
         v, pos = speech.view(text)
-        lang = language(v) if re.search("[A-Za-z]", v) else "en"
+        lang = language(v) if _CASED.search(v) else "en"
         know = self.know.get(lang) or Language()
         head, _, _ = speech.heads(v)
         n, begin, i = len(v), 0, head

@@ -167,6 +167,25 @@ CASES = [
 ]
 
 
+RUSSIAN = ["Мы купили хлеб, молоко и т. д. для всех. Это было в г. Москва. Дети ждут нас. Они читают и пишут. На стр. 5 есть рисунок. Мы идём на ул. Ленина и там ждём.", "Дети пишут и читают на доске. Мы ждём для всех и идём туда. Они ждут в школе. Это было давно."] * 40
+
+
+def test_periods_of_other_alphabets(spark):
+    s = sentences.Splitter(sentences.learnt(spark.createDataFrame([(t,) for t in RUSSIAN], "t string")))
+    t = "Мы купили хлеб, молоко и т. д. для всех. Дети ждут нас."
+    assert s.starts(t) == [0, t.index("Дети")]
+    t = "Это было на стр. 5 и там. Они читают."
+    assert s.starts(t) == [0, t.index("Они")]
+    assert sentences.language("Дети пишут.") == "ru" and sentences.language("der Brief " * 900) == "de" and sentences.language("plain words " * 900 + "der") == "en"
+
+
+def test_a_rare_abbreviation_of_a_large_corpus(spark):
+    # what decides about a word doesn't move with the size of the corpus
+    many = spark.range(60_000).selectExpr("concat('The class reads word', id % 50, ' and waits. It weighs more now. We go there and read. ') as t")
+    few = spark.createDataFrame([("It is approx. nine of them and approx. ten of it.",)] * 20, "t string")
+    assert "approx" in sentences.learnt(many.unionByName(few))["en"].short
+
+
 @pytest.fixture(scope="module")
 def know(spark):
     return sentences.learnt(spark.createDataFrame([(t,) for t in LEARN] + [(None,), ("",)], "t string"))
