@@ -25,11 +25,11 @@ from lecterna.llm import hashing as H
 from lecterna.plans.lineage import written
 
 #: Rows of a bucket that one task compares; larger buckets are cut into a grid.
-BLOCK = 16_000
+BLOCK = 30_000
 #: At most so many buckets can exceed the cap, as the cap is copies * n / MOST_HEAVY at least.
 MOST_HEAVY = 10_000
 #: Bytes that a task reads of the rows to compare, whatever their number.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 #: Pairs of which so many may be sent to every task: 16 bytes each.
 SMALL = 300_000
 
