@@ -17,6 +17,7 @@ from lecterna.functions import vector as V
 from lecterna.operators import cluster as C
 from lecterna.operators import detections as D
 from lecterna.operators import intervals as I
+from lecterna.operators.ordered import running
 from lecterna.plans import registry as R
 from lecterna.plans.session import ship
 
@@ -330,7 +331,7 @@ def peak_stamps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_EV} SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS role FROM ev""")
 def particle_carry(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", I.carried(F.col("event_type"), F.col("event_type") != "view", "user_id", ["ms", "event_id"]).alias("role"))
+    return I.carried(events(spark, d), "user_id", ["ms", "event_id"], "role", F.col("event_type"), F.col("event_type") != "view").select("event_id", "role")
 
 
 _HYP = "a AS (SELECT DISTINCT stream_id, idx, begin_ms, asr_type, audio_db, asr_dec_preds AS preds, asr_dec_raw_tokens AS tokens FROM hyp_a)"
@@ -351,10 +352,10 @@ def loud_segments(spark: SparkSession, d: str) -> DataFrame:
   g AS (SELECT *, sum(nw) OVER (PARTITION BY stream_id ORDER BY pos) AS sent FROM b) SELECT stream_id, CAST(sent AS BIGINT) AS sentence, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS parts FROM g GROUP BY 1, 2""")
 def fragment_merge(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "hyp_a").select("stream_id", "idx", "begin_ms", F.col("asr_dec_preds").alias("p")).distinct()
-    w = Window.partitionBy("stream_id").orderBy("begin_ms", "idx")
-    before = F.lag("p").over(w)
-    new = F.when(before.isNull() | before.rlike("[.。?？!！]\\z"), 1).otherwise(0)
-    g = a.withColumn("nw", new).withColumn("sentence", F.sum("nw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["begin_ms", "idx"]
+    rows = running(a, "stream_id", order, before=("lag", "p"))
+    new = F.when(F.col("before").isNull() | F.col("before").rlike("[.。?？!！]\\z"), 1).otherwise(0)
+    g = running(rows.withColumn("nw", new), "stream_id", order, sentence=("sum", "nw"))
     return g.groupBy("stream_id", "sentence").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("parts"))
 
 
@@ -562,7 +563,7 @@ def gathered(spark: SparkSession, d: str) -> DataFrame:
   SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY begin_ms, idx, p) AS pos, token FROM u""")
 def token_table(spark: SparkSession, d: str) -> DataFrame:
     u = hyp_a(spark, d).select("stream_id", "idx", "begin_ms", F.posexplode("tokens").alias("p", "token"))
-    return u.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("begin_ms", "idx", "p")).cast("long").alias("pos"), "token")
+    return running(u, "stream_id", ["begin_ms", "idx", "p"], pos=("sum", F.lit(1))).select("stream_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
 @query("SELECT user_id, epoch_us(ts) // 6000000 * 6000 AS at, count(*) AS n FROM events GROUP BY ALL")

@@ -1,27 +1,29 @@
 """Interval and sequence algebra over keyed, ordered rows.
 
 Every function takes the key and order columns by name; orders are completed
-by the caller to total orders. Windows are partitioned by the key, so a key's rows
-are sorted by one task with spilling, never collected.
+by the caller to total orders. Running values come from ``ordered.running``, which
+spreads a long key over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lecterna.operators.ordered import running
+
 
 def islands(df: DataFrame, key: str, start: str, end: str, gap: float, *, tie: str | None = None, inclusive: bool = True) -> DataFrame:
     """``df`` with ``island``: a new one begins where the start is ``gap`` or
     more (more, unless ``inclusive``) behind the end before it."""
-    w = Window.partitionBy(key).orderBy(start, *([tie] if tie else []))
-    d = F.col(start) - F.lag(end).over(w)
+    order = [start, *([tie] if tie else [])]
+    rows = running(df, key, order, _before=("lag", end))
+    d = F.col(start) - F.col("_before")
     new = F.when((d >= gap) if inclusive else (d > gap), 1).otherwise(0)
-    return df.withColumn("island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return running(rows.withColumn("_new", new), key, order, island=("sum", "_new")).drop("_before", "_new")
 
 
 def spans(df: DataFrame, key: str, start: str, end: str, gap: float, *, tie: str | None = None) -> DataFrame:
@@ -64,9 +66,8 @@ def merge_capped(df: DataFrame, key: str, start: str, end: str, *, cap: int, gap
 
 def complement(df: DataFrame, key: str, start: str, end: str, low: Column, high: Column) -> DataFrame:
     """(key, start, end): what the intervals of each key leave free in [low, high]."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    inner = df.select(key, F.coalesce(before, low).alias("s"), F.col(start).alias("e"))
+    rows = running(df, key, [start, end], _before=("max", end, False))
+    inner = rows.select(key, F.coalesce("_before", low).alias("s"), F.col(start).alias("e"))
     tail = df.groupBy(key).agg(F.max(end).alias("s"), high.alias("e"))
     free = inner.unionByName(tail.select(key, "s", "e"))
     return free.where("s < e").select(key, F.col("s").alias(start), F.col("e").alias(end))
@@ -90,15 +91,14 @@ def slices(duration: Column, least: float) -> Column:
 
 def timeline(df: DataFrame, key: str, order: list[str], duration: str) -> DataFrame:
     """``df`` with ``at``: where each slice starts when all are put end to end."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("at", F.sum(duration).over(w) - F.col(duration))
+    return running(df, key, order, _sum=("sum", duration)).withColumn("at", F.col("_sum") - F.col(duration)).drop("_sum")
 
 
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """(key, value, first, last, n): runs of equal values by position."""
-    w = Window.partitionBy(key).orderBy(*order)
-    pos = df.withColumn("pos", F.row_number().over(w))
-    run = pos.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(key, value).orderBy("pos")))
+    rows = running(df, key, order, pos=("sum", F.lit(1)), _before=("lag", value))
+    rows = rows.withColumn("_new", F.when((F.col("pos") > 1) & F.col("_before").eqNullSafe(F.col(value)), 0).otherwise(1))
+    run = running(rows, key, order, run=("sum", "_new"))
     return run.groupBy(key, value, "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n")).drop("run")
 
 
@@ -125,21 +125,20 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, *,
     l = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType), "_t": F.lit(None).cast(right.schema[time].dataType)})
     r = right.select(key, F.col(time), F.col(value).alias("_v"), F.col(time).alias("_t"), F.lit(0).alias("_side"))
     both = l.unionByName(r, allowMissingColumns=True)
-    if forward:
-        w = Window.partitionBy(key).orderBy(F.desc(time), "_side", F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(key).orderBy(time, "_side", F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.last(F.when(F.col("_side") == 0, F.struct("_v", "_t")), ignorenulls=True).over(w)
-    return both.withColumn("_x", pick).where("_side = 1").select(*left.columns, F.col("_x._v").alias("near_value"), F.col("_x._t").alias("near_time"))
+    # descending order by the negated time, so that one running value serves both ways
+    at = F.col(time).cast("double") if dict(both.dtypes)[time] in ("double", "float") else F.col(time).cast("long")
+    both = both.withColumns({"_at": -at if forward else at, "_nth": F.when(F.col("_side") == 1, F.lit(0)).otherwise(-F.col("_v").cast("double")) if dict(right.dtypes)[value] not in ("string",) else F.lit(0)})
+    order = ["_at", "_side", "_nth", *(["_v"] if dict(right.dtypes)[value] == "string" else [])]
+    rows = running(both, key, order, _x=("last", F.when(F.col("_side") == 0, F.struct("_v", "_t"))))
+    return rows.where("_side = 1").select(*left.columns, F.col("_x._v").alias("near_value"), F.col("_x._t").alias("near_time"))
 
 
 def pauses(df: DataFrame, key: str, order: list[str], start: str, end: str, text: str, skip: list[str], gap: float) -> DataFrame:
     """(key, pos): the positions after which a pause of ``gap`` or more lies;
     tokens to ``skip`` count as positions but neither open nor close a pause."""
-    w = Window.partitionBy(key).orderBy(*order)
-    pos = df.withColumn("pos", F.row_number().over(w) - 1).where(~F.col(text).isin(skip))
-    before = F.lag(end).over(Window.partitionBy(key).orderBy("pos"))
-    return pos.withColumn("gap", F.col(start) - before).where(F.col("gap") >= gap).select(key, (F.col("pos") - 1).alias("pos"))
+    pos = running(df, key, order, pos=("sum", F.lit(1))).withColumn("pos", F.col("pos") - 1).where(~F.col(text).isin(skip))
+    rows = running(pos, key, ["pos"], _before=("lag", end))
+    return rows.withColumn("gap", F.col(start) - F.col("_before")).where(F.col("gap") >= gap).select(key, (F.col("pos") - 1).alias("pos"))
 
 
 def moving_average(value: str, key: str, order: list[str], n: int = 3) -> Column:
@@ -148,10 +147,9 @@ def moving_average(value: str, key: str, order: list[str], n: int = 3) -> Column
     return F.sum(value).over(w) / F.lit(float(n))
 
 
-def carried(value: Column, allowed: Column, key: str, order: list[str]) -> Column:
-    """The value of the last row that was allowed to set one."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(F.when(allowed, value), ignorenulls=True).over(w)
+def carried(df: DataFrame, key: str, order: list[str], name: str, value: Column, allowed: Column) -> DataFrame:
+    """``df`` with ``name``, the value of the last row that was allowed to set one."""
+    return running(df, key, order, **{name: ("last", F.when(allowed, value))})
 
 
 def frames(x: Column, size: int, hop: int) -> Column:
@@ -181,8 +179,8 @@ def capped_stamps(stamps: Column, cap: Column) -> Column:
 
 def ctc_collapse(df: DataFrame, key: str, order: list[str], label: str, blank: object) -> DataFrame:
     """Rows whose label differs from the one before and isn't the blank."""
-    prev = F.lag(label).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_prev", prev).where((F.col("_prev").isNull() | (F.col("_prev") != F.col(label))) & (F.col(label) != blank)).drop("_prev")
+    rows = running(df, key, order, _prev=("lag", label))
+    return rows.where((F.col("_prev").isNull() | (F.col("_prev") != F.col(label))) & (F.col(label) != blank)).drop("_prev")
 
 
 def collapse(x: Column, blank: int = 0) -> Column:
@@ -210,17 +208,3 @@ def peak_stamps(df: DataFrame, key: str, pos: str, value: str, *, least: float,
     start = (F.col("pos") + offset) * unit
     end = (F.least("next", F.col("pos") + longest) + offset) * unit
     return peaks.where("next is not null").select(key, "nth", start.alias("start"), end.alias("end"))
-
-
-def by_key(df: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:  # noqa: ANN001
-    """A sequential Python step over the ordered rows of each key, one key in
-    memory at a time: ``step(DataFrame) -> DataFrame``."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return step(g.sort_values(order, kind="stable").reset_index(drop=True))
-
-    return df.groupBy(key).applyInPandas(run, schema)
-
-
-def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from it

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lecterna.functions import sequences as S
 from lecterna.functions import text as T
 from lecterna.functions.itn import written
+from lecterna.operators.ordered import running
 from lecterna.plans import lineage
 
 # Words that mark a teacher's sentence.
@@ -103,13 +104,13 @@ def sentences(tokens: DataFrame) -> DataFrame:
     start, end, punc, role): a sentence ends behind a comma, period or question
     mark or where the role changes; its role is the one that lasts longest, the
     teacher (0) on ties; fragments without a final mark join what follows."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    cut = (F.lag("punc").over(w) >= 2) & (F.lag("punc").over(w) <= 4) | (F.lag("role").over(w) != F.col("role"))
-    t = tokens.withColumn("part", F.sum(F.when(cut, 1).otherwise(0)).over(w))
+    t = running(tokens, "doc", ["pos"], _punc=("lag", "punc"), _role=("lag", "role"))
+    cut = F.col("_punc").between(2, 4) | (F.col("_role") != F.col("role"))
+    t = running(t.withColumn("_cut", F.when(cut, 1).otherwise(0)), "doc", ["pos"], part=("sum", "_cut")).drop("_cut", "_punc", "_role")
     parts = t.groupBy("doc", "part").agg(F.min("pos").alias("pos"), F.max_by("punc", "pos").alias("punc"))
-    pw = Window.partitionBy("doc").orderBy("part")
-    ended = F.coalesce(F.lag("punc").over(pw).isin(3, 4), F.lit(True))
-    groups = parts.withColumn("sentence", F.sum(F.when(ended, 1).otherwise(0)).over(pw)).select("doc", "part", "sentence")
+    parts = running(parts, "doc", ["part"], _punc=("lag", "punc"))
+    ended = F.coalesce(F.col("_punc").isin(3, 4), F.lit(True))
+    groups = running(parts.withColumn("_new", F.when(ended, 1).otherwise(0)), "doc", ["part"], sentence=("sum", "_new")).select("doc", "part", "sentence")
     t = t.join(groups, ["doc", "part"])
     role = t.groupBy("doc", "sentence", "role").agg(F.sum(F.col("end") - F.col("start")).alias("d")).groupBy("doc", "sentence").agg(F.max_by("role", F.struct("d", -F.col("role"))).alias("role"))
     mark = F.when(F.col("punc") == 2, "，").when(F.col("punc") == 3, "。").when(F.col("punc") == 4, "？").otherwise("")
@@ -153,8 +154,8 @@ def report(hyp_a: DataFrame, hyp_b: DataFrame, roles: DataFrame, *, compat: bool
     both = F.arrays_zip(F.col("asr_dec_raw_tokens").alias("token"), F.col("asr_dec_stamp").alias("stamp"))
     # tokens carry no marks: the last one of an utterance gets the mark that ends its text
     u = a.select("stream_id", "idx", "begin_ms", "final", F.size("asr_dec_raw_tokens").alias("m"), F.posexplode(both).alias("k", "x")).where("x.token is not null")
-    order = Window.partitionBy("stream_id").orderBy("begin_ms", "idx", "k")
-    u = u.select("stream_id", F.row_number().over(order).cast("long").alias("pos"), F.col("x.token").alias("token"), F.when(F.col("k") == F.col("m") - 1, F.col("final")).alias("final"), (F.col("begin_ms") + F.coalesce("x.stamp.b", F.lit(0))).alias("start"), (F.col("begin_ms") + F.coalesce(F.greatest("x.stamp.e", F.col("x.stamp.b") + 1), F.lit(1))).alias("end"))
+    u = running(u, "stream_id", ["begin_ms", "idx", "k"], pos=("sum", F.lit(1)))
+    u = u.select("stream_id", F.col("pos").cast("long").alias("pos"), F.col("x.token").alias("token"), F.when(F.col("k") == F.col("m") - 1, F.col("final")).alias("final"), (F.col("begin_ms") + F.coalesce("x.stamp.b", F.lit(0))).alias("start"), (F.col("begin_ms") + F.coalesce(F.greatest("x.stamp.e", F.col("x.stamp.b") + 1), F.lit(1))).alias("end"))
     u = lineage.written(u, "tokens")  # used twice below
     near = overlap_argmax(u.withColumnRenamed("pos", "token_id"), roles, "stream_id", 10_000).join(roles.select("stream_id", "role_id", "role"), ["stream_id", "role_id"]).select("stream_id", F.col("token_id").alias("pos"), "role")
     sign = F.coalesce("final", F.substr("token", F.lit(-1)))

@@ -99,3 +99,36 @@ def test_empty_tables(spark):
 def test_allocation_carries_whole_units(spark):
     df = spark.createDataFrame([([1.0, 2.0, 1.0],)], "w array<double>").select(I.allocated(F.lit(0), F.lit(101), F.col("w")).alias("a"))
     assert [(x["b"], x["e"]) for x in df.first()["a"]] == [(0, 25), (25, 75), (75, 100)]
+
+
+HOT = ["gap_islands", "interval_complement", "slice_timeline", "run_length", "asof_prev_next", "weighted_vote", "pause_index", "particle_carry", "ctc_collapse", "fragment_merge", "token_table", "merge_capped", "transcript_statistics"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_long_keys_give_the_same(spark, data, monkeypatch, name):
+    from lecterna import catalog
+    from lecterna.operators import ordered
+
+    rows = lambda: sorted(map(str, catalog.QUERIES[name](spark, data).collect()))
+    want = rows()
+    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+    monkeypatch.setattr(ordered, "MANY", 3)
+    assert ordered.long_keys(catalog.events(spark, data), ["user_id"]) and rows() == want
+
+
+def test_running_values(spark):
+    from lecterna.operators import ordered
+
+    rows = [(k, i, v) for k in (1, 2, None) for i, v in enumerate([3, None, 5, 1, None, 2])]
+    df = spark.createDataFrame(rows, "k int, o int, v int").repartition(5)
+    how = dict(s=("sum", "v"), m=("max", "v", False), last=("last", "v"), lag=("lag", "v"))
+    plain = sorted(map(str, ordered.running(df, "k", ["o"], **how).collect()))
+    old = ordered.SMALL_BYTES, ordered.MANY
+    ordered.SMALL_BYTES, ordered.MANY = 0, 2
+    try:
+        assert sorted(map(str, ordered.running(df, "k", ["o"], **how).collect())) == plain
+    finally:
+        ordered.SMALL_BYTES, ordered.MANY = old
+    got = {(r["k"], r["o"]): r for r in ordered.running(df, "k", ["o"], **how).collect()}
+    assert [got[1, i]["s"] for i in range(6)] == [3, 3, 8, 9, 9, 11] and [got[1, i]["m"] for i in range(6)] == [None, 3, 3, 5, 5, 5]
+    assert [got[2, i]["last"] for i in range(6)] == [3, 3, 5, 1, 1, 2] and [got[2, i]["lag"] for i in range(6)] == [None, 3, None, 5, 1, None]
