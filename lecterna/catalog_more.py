@@ -81,12 +81,6 @@ def vad_segments(spark: SparkSession, d: str) -> DataFrame:
     return speech.detect(f, ring=5, to_speech=3, to_silence=3, look_back=2, look_ahead=1, end_silence=8, most=200)
 
 
-@query()
-def ctc_decode(spark: SparkSession, d: str) -> DataFrame:
-    x = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
-    return table(spark, d, "embeddings").select("vec_id", decode.decoded(x, list("abcdefg")).alias("x")).select("vec_id", "x.text", F.round("x.confidence", 6).alias("confidence"))
-
-
 @query()
 def beam_decode(spark: SparkSession, d: str) -> DataFrame:
     """Beams over each vector read as a table of scores that depends on the last token."""
@@ -144,3 +138,28 @@ def lone_segments(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame([(g["stream_id"].iloc[0], *x) for x in got], columns=["stream_id", "start_s", "end_s", "group_id"])
 
     return near.drop("sv_feat", "next").groupBy("stream_id").applyInPandas(run, "stream_id long, start_s double, end_s double, group_id int")
+
+
+def _voiced(spark: SparkSession, d: str) -> DataFrame:
+    fit = F.col("sv_feat").isNotNull() & (F.size("sv_feat") == 192) & F.forall("sv_feat", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("sv_feat", lambda v: v != 0)
+    return table(spark, d, "segment").where(fit & F.col("start_s").isNotNull()).select("stream_id", "seg_id", "start_s", "end_s", "sv_feat").dropDuplicates(["stream_id", "seg_id"])
+
+
+@query()
+def speaker_roles(spark: SparkSession, d: str) -> DataFrame:
+    """The teacher's segments (role 0) of each recording."""
+    return C.roles(_voiced(spark, d), "stream_id", "seg_id", "sv_feat", "start_s", "end_s")
+
+
+@query()
+def transcription_report(spark: SparkSession, d: str) -> DataFrame:
+    """Whole recordings in one plan: activity by loudness, both recognisers merged,
+    roles from the voices, sentences with marks, numbers as digits, statistics."""
+    loud = table(spark, d, "vad_segment").where("idx is not null and audio_db >= 0.003").select("stream_id", "idx").distinct()
+    a = table(spark, d, "hyp_a").join(loud, ["stream_id", "idx"])
+    v = _voiced(spark, d)
+    r = C.roles(v, "stream_id", "seg_id", "sv_feat", "start_s", "end_s").join(v.select("stream_id", "seg_id", "start_s", "end_s"), ["stream_id", "seg_id"])
+    r = r.select("stream_id", F.col("seg_id").alias("role_id"), (F.col("start_s") * 1000).cast("long").alias("start"), (F.col("end_s") * 1000).cast("long").alias("end"), "role").where("start < end")
+    said, counted = X.report(a, table(spark, d, "hyp_b"), r)
+    per = said.groupBy("doc").agg(F.count("*").alias("sentences"), F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("teacher"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return per.join(counted, "doc").select(F.col("doc").alias("stream_id"), "sentences", "teacher", "begin", "end", "words", "speed")

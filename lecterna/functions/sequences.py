@@ -95,34 +95,35 @@ def doubled(text: str) -> list[str]:
 
 def repaired(a: str, b: str, *, whole_words: Iterable[str] = (), cut: Segmenter = characters) -> tuple[str, list[int]]:
     """``a`` with characters that it doubles and ``b`` doesn't put right from the
-    context in ``b``; (text, places deleted). Characters of ``whole_words`` may
-    be doubled. A pair that no rule explains loses its second character."""
-    keep = set(whole_words)
-    for c in doubled(a):
+    context in ``b``; (text, places of ``a`` deleted), so that the times of its
+    characters can follow. Characters of ``whole_words`` may be doubled. A pair that
+    no rule explains loses its second character."""
+    keep, out, gone = set(whole_words), list(a), set()
+    at_or = lambda s, i: s[i] if 0 <= i < len(s) else ""
+    for c in dict.fromkeys(doubled(a)):
         if c in doubled(b) or c in keep or c not in b:
             continue
         at = a.find(c + c)
-        if at < 0:
-            continue
-        get = lambda s, i: s[i] if 0 <= i < len(s) else ""
-        done = False
+        before, behind = at_or(a, at - 1), at_or(a, at + 2)
         for d in (i for i, x in enumerate(b) if x == c):
-            if get(a, at + 2) and get(a, at + 2) == get(b, d + 1):
-                a, done = a[: at + 1] + a[at + 2 :], True
-            elif get(a, at + 2) and get(a, at + 2) == get(b, d + 2):
-                right = True
-                if get(a, at - 1) and get(a, at - 1) == get(b, d - 2):
-                    right = b[d : d + 2] in cut(b[max(0, d - 1) : d + 2])
-                a = a[: at + 1] + get(b, d + 1) + a[at + 2 :] if right else a[:at] + get(b, d - 1) + a[at + 1 :]
-                done = True
-            elif get(a, at - 1) and get(a, at - 1) == get(b, d - 2):
-                a, done = a[:at] + get(b, d - 1) + a[at + 1 :], True
-            if done:
+            if behind and behind == at_or(b, d + 1):
+                gone.add(at + 1)
+                break
+            second = behind and behind == at_or(b, d + 2)  # the second one stands for another character
+            first = before and d > 1 and before == at_or(b, d - 2)
+            if second and first:
+                words = cut(b[d - 1 : d + 2])
+                if len(words) > 1 and len(words[0]) != len(words[1]):
+                    second, first = len(words[0]) < len(words[1]), len(words[0]) > len(words[1])
+            if second:
+                out[at + 1] = b[d + 1]
                 break
-        if not done:
-            a = a[: at + 1] + a[at + 2 :]
-    gone: list[int] = []
-    return a, gone
+            if first:
+                out[at] = b[d - 1]
+                break
+        else:
+            gone.add(at + 1)
+    return "".join(x for i, x in enumerate(out) if i not in gone), sorted(gone)
 
 
 def deduplicated(tokens: Sequence[str], stamps: Sequence[tuple[int, int]], *, most: int = 2, least_ms: int = 1000, may_double: Iterable[str] = ()) -> list[int]:

@@ -37,10 +37,21 @@ def mel(f: np.ndarray | float) -> np.ndarray:
     return 1127.0 * np.log1p(np.asarray(f) / 700.0)
 
 
-def mel_bank(bins: int, fft: int, *, rate: int = RATE, low: float = 20.0, high: float = 0.0) -> np.ndarray:
-    """(bins, fft/2+1) triangles evenly spaced on the mel scale."""
+def warped(f: np.ndarray, warp: float, *, low: float, high: float, from_: float = 100.0, to: float = 7500.0) -> np.ndarray:
+    """Frequencies warped for the length of a vocal tract: by 1/``warp`` in the
+    middle, linearly towards the ends of the band, which stay."""
+    f = np.asarray(f, float)
+    lower, upper = from_ * max(1.0, warp), to * min(1.0, warp)
+    left, right = (lower / warp - low) / (lower - low), (high - upper / warp) / (high - upper)
+    return np.where((f < low) | (f > high), f, np.where(f < lower, low + left * (f - low), np.where(f < upper, f / warp, high + right * (f - high))))
+
+
+def mel_bank(bins: int, fft: int, *, rate: int = RATE, low: float = 20.0, high: float = 0.0, warp: float = 1.0) -> np.ndarray:
+    """(bins, fft/2+1) triangles evenly spaced on the mel scale, warped by ``warp``."""
     top = high if high > 0 else rate / 2 + high
     edges = np.linspace(mel(low), mel(top), bins + 2)
+    if warp != 1.0:
+        edges = mel(warped(700.0 * np.expm1(edges / 1127.0), warp, low=low, high=top))
     m = mel(np.arange(fft // 2 + 1) * rate / fft)[None]
     left, centre, right = edges[:-2, None], edges[1:-1, None], edges[2:, None]
     bank = np.maximum(0, np.minimum((m - left) / (centre - left), (right - m) / (right - centre)))
@@ -97,40 +108,39 @@ def slices_4class(x: np.ndarray, *, rate: int = RATE, extra: int = 240, most: in
     return [np.stack(rows[i : i + most]) for i in range(0, len(rows), most)]
 
 
+# Fixed values of the mute rule: how much louder the loud part is, the floor of loudness, how far above the quietest,
+# and the jump between neighbours from which a frame isn't mute.
+MUTE_RATIO, MUTE_FLOOR, MUTE_ABOVE, MUTE_JUMP = 8.0, 0.00305, 1.3, 3.0
+
+
 def mute_runs(x: np.ndarray, *, hop: int = 160) -> list[tuple[int, int]]:
     """Voiced runs (first, last frame) of a piece of audio whose quiet ends are muted.
 
     A frame is mute if the loud part is eight times louder, or if it is near
-    the quietest; a jump up against the frame before un-mutes it; frames muted
-    between voiced ones are voiced."""
+    the quietest. Any mute frame but the first one is voiced where the loudness
+    jumps, up or down, against the frame before. A mute frame at an end beside a voiced
+    one is voiced, and so are mute frames between voiced ones."""
     n = len(x) // hop
     if not n:
         return []
-    s = np.abs(np.asarray(x[: n * hop], float))
-    smooth = np.convolve(s, np.ones(3) / 3, "same").reshape(n, hop).max(1)
-    pos = np.sort(smooth[smooth > 0])
+    s = np.abs(np.asarray(x[: n * hop], float)).reshape(n, hop)
+    # each frame is smoothed by itself
+    pad = np.pad(s, ((0, 0), (1, 1)))
+    loud = ((pad[:, :-2] + pad[:, 1:-1] + pad[:, 2:]) / 3).max(1)
+    pos = np.sort(loud[loud > 0])
     if not len(pos):
         return []
     k = int(len(pos) * 0.3)
-    base = (pos[-k:] if k else pos).mean()
-    mute = (base / (smooth + 1e-5) >= 8) | (smooth < max(0.00305, 1.3 * smooth.min()))
-    first = True
-    for i in range(1, n):
-        if mute[i]:
-            if first:
-                first = False
-                continue
-            if smooth[i] / (smooth[i - 1] + 1e-9) > min(1.1 * base / (6 * smooth[i] + 1e-5), 3):
-                mute[i] = False
-    if n > 1 and mute[0] and not mute[1]:
-        mute[0] = False
-    if n > 1 and mute[-1] and not mute[-2]:
-        mute[-1] = False
+    base = round(float((pos[-k:] if k else pos).mean()), 5)
+    mute = (base / (loud + 1e-5) >= MUTE_RATIO) | (loud < max(MUTE_FLOOR, MUTE_ABOVE * loud.min()))
+    later = np.nonzero(mute)[0][1:]
+    high, low = np.maximum(loud[later - 1], loud[later]), np.minimum(loud[later - 1], loud[later])
+    mute[later[high / (low + 1e-5) > np.minimum(1.1 * base / (6 * loud[later] + 1e-5), MUTE_JUMP)]] = False
+    if n > 1:
+        mute[0] &= mute[1]
+        mute[-1] &= mute[-2]
     voiced = np.nonzero(~mute)[0]
-    if not len(voiced):
-        return []
-    mute[voiced[0] : voiced[-1] + 1] = False
-    return [(int(voiced[0]), int(voiced[-1]))]
+    return [(int(voiced[0]), int(voiced[-1]))] if len(voiced) else []
 
 
 def tightened(x: np.ndarray, start: float, end: float, *, least: float = 0.5, hop: int = 160, rate: int = RATE) -> tuple[float, float]:
@@ -150,13 +160,14 @@ class ActivityDetector:
     A ring of ``ring`` frames switches to speech when ``to_speech`` of them are
     voiced and back when no more than ``to_silence`` are. A segment opens
     ``look_back`` frames and a ring before the switch, closes when silence has
-    lasted ``end_silence`` (keeping ``look_ahead`` of it) or at ``most``."""
+    lasted ``end_silence`` (keeping ``look_ahead`` of it) or at ``most``. A frame less
+    than ``least_snr`` decibels above the noise so far is no speech."""
 
     FIELDS = ("frame", "ring_bits", "speaking", "open", "start", "silence", "noise", "floor")
 
-    def __init__(self, *, ring: int = 20, to_speech: int = 15, to_silence: int = 15, look_back: int = 20, look_ahead: int = 10, end_silence: int = 80, most: int = 6000, ratio: float = 1.0, margin: float = 0.6, least_db: float = -100.0) -> None:
+    def __init__(self, *, ring: int = 20, to_speech: int = 15, to_silence: int = 15, look_back: int = 20, look_ahead: int = 10, end_silence: int = 80, most: int = 6000, ratio: float = 1.0, margin: float = 0.6, least_db: float = -100.0, least_snr: float = -100.0, noise_frames: int = 100) -> None:
         self.ring, self.to_speech, self.to_silence, self.look_back, self.look_ahead, self.end_silence, self.most = ring, to_speech, to_silence, look_back, look_ahead, end_silence, most
-        self.ratio, self.margin, self.least_db = ratio, margin, least_db
+        self.ratio, self.margin, self.least_db, self.least_snr, self.noise_frames = ratio, margin, least_db, least_snr, noise_frames
         self.frame, self.ring_bits, self.speaking, self.open, self.start, self.silence, self.noise, self.floor = 0, [0] * ring, False, False, 0, 0, None, 0
 
     def state(self) -> dict:
@@ -172,8 +183,10 @@ class ActivityDetector:
             return False
         yes = (1 - silence_score) >= silence_score**self.ratio + self.margin
         if not yes:
-            self.noise = db if self.noise is None else (db + self.noise * 99) / 100
-        return yes
+            # the noise is a running mean of what isn't speech
+            self.noise = db if self.noise is None else (db + self.noise * (self.noise_frames - 1)) / self.noise_frames
+            return False
+        return db - (self.noise if self.noise is not None else -100.0) >= self.least_snr
 
     def push(self, silence_score: float, db: float = 0.0) -> tuple[int, int] | None:
         """The segment (start, end) that this frame closes, if any."""
@@ -209,3 +222,20 @@ class ActivityDetector:
         self.open, self.speaking, self.silence, self.floor = False, False, 0, last + 1
         self.ring_bits = [0] * self.ring
         return got
+
+
+class OnlineFbank:
+    """Log mel energies of audio that comes in pieces: frames are given once all
+    their samples are there, the rest is kept. The frames are those of ``fbank``."""
+
+    def __init__(self, *, size: int = 400, hop: int = 160, **how: object) -> None:
+        self.size, self.hop, self.how, self.rest = size, hop, how, np.zeros(0)
+
+    def accept(self, x: np.ndarray) -> np.ndarray:
+        self.rest = np.concatenate([self.rest, np.asarray(x, float)])
+        out = fbank(self.rest, size=self.size, hop=self.hop, **self.how)
+        self.rest = self.rest[len(out) * self.hop :]
+        return out
+
+    def reset(self) -> None:
+        self.rest = np.zeros(0)

@@ -130,11 +130,49 @@ def glued_letters(words: Column) -> Column:
     return F.aggregate(words, start, step)
 
 
+# Patterns at the beginning of a word that take a syllable from the count of its vowel groups, or add one.
+SYLLABLE_LESS = [
+    "cial", "tia", "cius", "cious", "uiet", "gious", "geous", "priest", "giu", "dge", "ion", "iou", "sia$", ".che$", ".ched$", ".abe$", ".ace$",
+    ".ade$", ".age$", ".aged$", ".ake$", ".ale$", ".aled$", ".ales$", ".ane$", ".ame$", ".ape$", ".are$", ".ase$", ".ashed$", ".asque$", ".ate$",
+    ".ave$", ".azed$", ".awe$", ".aze$", ".aped$", ".athe$", ".athes$", ".ece$", ".ese$", ".esque$", ".esques$", ".eze$", ".gue$", ".ibe$", ".ice$",
+    ".ide$", ".ife$", ".ike$", ".ile$", ".ime$", ".ine$", ".ipe$", ".iped$", ".ire$", ".ise$", ".ished$", ".ite$", ".ive$", ".ize$", ".obe$", ".ode$",
+    ".oke$", ".ole$", ".ome$", ".one$", ".ope$", ".oque$", ".ore$", ".ose$", ".osque$", ".osques$", ".ote$", ".ove$", ".pped$", ".sse$", ".ssed$",
+    ".ste$", ".ube$", ".uce$", ".ude$", ".uge$", ".uke$", ".ule$", ".ules$", ".uled$", ".ume$", ".une$", ".upe$", ".ure$", ".use$", ".ushed$",
+    ".ute$", ".ved$", ".we$", ".wes$", ".wed$", ".yse$", ".yze$", ".rse$", ".red$", ".rce$", ".rde$", ".ily$", ".ely$", ".des$", ".gged$", ".kes$",
+    ".ced$", ".ked$", ".med$", ".mes$", ".ned$", ".[sz]ed$", ".nce$", ".rles$", ".nes$", ".pes$", ".tes$", ".res$", ".ves$", "ere$",
+]
+SYLLABLE_MORE = [
+    "ia", "riet", "dien", "ien", "iet", "iu", "iest", "io", "ii", "ily", ".oala$", ".iara$", ".ying$", ".earest", ".arer", ".aress", ".eate$",
+    ".eation$", "[aeiouym]bl$", "[aeiou]{3}", "^mc", "ism", "^mc", "asm", "([^aeiouy])1l$", "[^l]lien", "^coa[dglx].", "[^gq]ua[^auieo]", "dnt$",
+]
+
+
 def syllables(word: Column) -> Column:
-    """Vowel groups of a word, a silent final e apart; at least one."""
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    n = F.regexp_count(w, F.lit("[aeiouy]+")) - F.when(w.rlike("[^aeiouyl]e$") & w.rlike("[aeiouy].*[^aeiouy]e$"), 1).otherwise(0)
-    return F.greatest(n, F.lit(1))
+    """Vowel groups of a word, less or more one for each pattern it begins with; at least one."""
+    count = lambda ps: sum((word.rlike(f"^(?:{p})").cast("int") for p in ps), F.lit(0))
+    n = F.regexp_count(F.lower(word), F.lit("[aeiouy]+")) - count(SYLLABLE_LESS) + count(SYLLABLE_MORE)
+    return F.greatest(F.lit(1), n).cast("int")
+
+
+def joined_plain(words: Column) -> Column:
+    """Words in one line: a blank between two that both end and begin with an ASCII letter, else none."""
+    first = F.struct(F.lit("").alias("line"), F.lit(False).alias("open"))
+    step = lambda a, w: F.struct(F.concat(a["line"], F.when(a["open"] & w.rlike("^[a-zA-Z]"), F.lit(" ")).otherwise(F.lit("")), w).alias("line"), w.rlike("[a-zA-Z]$").alias("open"))
+    return F.aggregate(F.filter(words, lambda w: w.isNotNull() & (w != "")), first, step, lambda a: a["line"])
+
+
+def symbols(text: Column, multi: list[str] = []) -> Column:  # noqa: B006
+    """The characters of a text; each of the symbols ``multi`` is one, the longer ones first."""
+    import re
+
+    parts = "|".join(re.escape(m) for m in sorted(multi, key=lambda m: (-len(m), m)))
+    return F.regexp_extract_all(text, F.lit(f"{parts}|(?s:.)" if parts else "(?s:.)"), F.lit(0))
+
+
+def looked_up(key: Column, table: dict, default: object = None) -> Column:
+    """The value of a small table by key, ``default`` where it has none."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.coalesce(F.create_map(*pairs)[key], F.lit(default)) if pairs else F.lit(default)
 
 
 def protected_apostrophes(t: Column, sign: str = "ʼ") -> Column:

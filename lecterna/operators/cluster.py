@@ -218,3 +218,68 @@ def speaker_labels(x: np.ndarray, *, alike: float = 0.8, sizes: tuple[int, ...]
         if len(x) < 2 or (u @ u.T).min() >= alike:
             return np.zeros(len(x), np.int64)
     return merged_by_cosine(spectral(x), x, alike)
+
+
+def communities(x: np.ndarray, *, neighbours: int = 20, least: float = 0.4, rounds: int = 20) -> np.ndarray:
+    """Labels by propagation over each row's most similar rows; rows without a link stay alone."""
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    near = np.argsort(-s, 1, kind="stable")[:, : min(neighbours, max(len(x) - 1, 0))]
+    w = np.zeros_like(s)
+    v = np.take_along_axis(s, near, 1)
+    np.put_along_axis(w, near, np.where(v >= least, v, 0), 1)
+    w = np.maximum(w, w.T)
+    labels = np.arange(len(x))
+    for _ in range(rounds):
+        votes = np.zeros((len(x), len(x)))
+        np.add.at(votes.T, labels, w)
+        votes[np.arange(len(x)), labels] += w.max(1, initial=0)
+        new = np.where(votes.max(1) > 0, votes.round(9).argmax(1), labels)
+        if (new == labels).all():
+            break
+        labels = new
+    return labels
+
+
+def teacher_roles(x: np.ndarray, start: np.ndarray, end: np.ndarray, *, pause: float = 1.0, least: float = 0.4) -> np.ndarray:
+    """0 for the teacher, 1 for others: the community that most long pauses follow,
+    so far as a spectral cluster agrees with it, and what is recalled by its
+    likeness to those sure segments."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    info, spec = communities(x, least=least), speaker_labels(x)
+    gap = np.r_[start[1:] - end[:-1], 0.0]
+    score = {}
+    for k in np.unique(info):
+        long, short = ((info == k) & (gap >= pause)).sum(), ((info == k) & (gap > 0) & (gap < pause)).sum()
+        score[int(k)] = (long + 0.3 * short if long else 0.3 * short / (n + 1), int((info == k).sum()), -int(k))
+    teacher = max(score, key=score.get)
+    own = [np.nonzero((info == teacher) & (spec == k))[0] for k in np.unique(spec)]
+    sure = max(own, key=len)
+    role = np.ones(n, np.int64)
+    role[sure] = 0
+    s = u @ u.T
+    ratio = (s[:, sure] >= least).mean(1)
+    top = np.argsort(-s, 1, kind="stable")[:, 1:20]
+    match = np.isin(top, sure).sum(1)
+    role[(ratio > 0.4) & (match >= 5) | (ratio > 0.3) & (match >= 8)] = 0
+    return role
+
+
+def roles(segments: DataFrame, key: str, id_col: str, vec_col: str, start: str, end: str, *, span: float = 14_400.0) -> DataFrame:
+    """(key, id, role) of the segments of every recording, 0 for the teacher.
+
+    A lesson is the unit: recordings are cut into spans of ``span`` seconds, so that
+    one that never ends is many tasks and no task holds more than a span."""
+    kind = lambda c: segments.schema[c].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([start, id_col])
+        x = np.stack(g[vec_col].to_numpy()).astype(float)
+        return pd.DataFrame({key: g[key], id_col: g[id_col], "role": teacher_roles(x, g[start].to_numpy(float), g[end].to_numpy(float))})
+
+    t = segments.select(key, id_col, vec_col, start, end).withColumn("_span", F.floor(F.col(start) / span))
+    return t.groupBy(key, "_span").applyInPandas(run, f"{key} {kind(key)}, {id_col} {kind(id_col)}, role long")

@@ -172,3 +172,67 @@ def text_boxes(df: DataFrame, *, least_side: float = 3, least_score: float = 0.6
     w = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
     side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     return df.where((side >= least_side) & (F.col("score") >= least_score)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def inside(poly: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether points lie in a polygon, by crossings."""
+    hit = np.zeros(np.shape(x), bool)
+    for (x1, y1), (x2, y2) in zip(poly, np.roll(poly, -1, 0)):
+        if y1 != y2:
+            hit ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return hit
+
+
+def box_score(prob: np.ndarray, poly: np.ndarray) -> float:
+    """Mean probability of the pixels of a polygon; 0 for one without pixels."""
+    lo = np.maximum(np.floor(poly.min(0)).astype(int), 0)
+    hi = np.minimum(np.ceil(poly.max(0)).astype(int), np.array(prob.shape[::-1]) - 1)
+    if (hi < lo).any():
+        return 0.0
+    y, x = np.mgrid[lo[1] : hi[1] + 1, lo[0] : hi[0] + 1]
+    m = inside(poly + 1e-9, x, y)
+    part = prob[lo[1] : hi[1] + 1, lo[0] : hi[0] + 1]
+    return float(part[m].mean()) if m.any() else 0.0
+
+
+def unclipped(poly: np.ndarray, ratio: float) -> np.ndarray:
+    """A convex polygon with every edge moved outwards by area x ratio / perimeter."""
+    p = np.asarray(poly, float)
+    nxt = np.roll(p, -1, 0)
+    area = ((p[:, 0] * nxt[:, 1]) - (nxt[:, 0] * p[:, 1])).sum() / 2
+    edge = nxt - p
+    length = np.hypot(*edge.T)
+    if not length.all() or not area:
+        return p
+    normal = np.stack([edge[:, 1], -edge[:, 0]], 1) / length[:, None] * np.sign(area)
+    moved = p + normal * abs(area) * ratio / length.sum()
+    # each corner is where two moved edges meet
+    out = np.empty_like(p)
+    for i in range(len(p)):
+        a, u, b, v = moved[i - 1], edge[i - 1], moved[i], edge[i]
+        cross = u[0] * v[1] - u[1] * v[0]
+        out[i] = b if abs(cross) < 1e-12 else a + u * (((b - a)[0] * v[1] - (b - a)[1] * v[0]) / cross)
+    return out
+
+
+def text_regions(prob: np.ndarray, *, threshold: float = 0.3, least_score: float = 0.6, ratio: float = 1.5, least_side: float = 3, least_grown: float = 5, most: int = 1000, scale: tuple[float, float] = (1.0, 1.0)) -> list[tuple[np.ndarray, float]]:
+    """(corners, score) of the text of a probability map: its connected regions in
+    reading order, at most ``most``, as smallest rectangles that are large and sure enough,
+    grown by ``ratio`` and scaled back to the image."""
+    labels = labelled_components(prob > threshold)
+    out = []
+    for k in range(1, min(int(labels.max(initial=0)), most) + 1):
+        y, x = np.nonzero(labels == k)
+        # pixels are squares
+        at = np.concatenate([np.stack([x + dx, y + dy], 1) for dx in (0, 1) for dy in (0, 1)])
+        corners, _ = min_area_rect(at)
+        if min(np.hypot(*(corners[1] - corners[0])), np.hypot(*(corners[2] - corners[1]))) < least_side:
+            continue
+        score = box_score(prob, corners - 0.5)
+        if score < least_score:
+            continue
+        grown = unclipped(corners, ratio)
+        if min(np.hypot(*(grown[1] - grown[0])), np.hypot(*(grown[2] - grown[1]))) < least_grown:
+            continue
+        out.append((np.round(grown * np.array(scale)), score))
+    return out

@@ -12,10 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset, as
-    in tests, a folder of this machine is used."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset on a
+    local master, as in tests, a folder of this machine is used."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="lecterna-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

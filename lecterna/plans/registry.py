@@ -28,14 +28,19 @@ DESCRIPTOR = (
 
 @dataclass(frozen=True)
 class Operator:
-    """One operator: ``transform`` adds ``output`` as a struct column named like it."""
+    """One operator. ``transform`` gives a table the columns it adds; where rows
+    ask one by one (``plan_rows``), ``columns`` gives the same as expressions."""
 
     name: str
     mid: int
-    transform: Callable[[DataFrame], DataFrame]
+    transform: Callable[[DataFrame], DataFrame] | None = None
     depends: tuple[int, ...] = ()
     inputs: tuple[str, ...] = ()
     output: StructType | None = None
+    columns: Callable[[], dict[str, Column]] | None = None
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        return self.transform(df) if self.transform is not None else df.withColumns(self.columns() if self.columns else {})
 
 
 @dataclass
@@ -83,23 +88,42 @@ class Registry:
             missing = [c for c in op.inputs if c not in df.columns]
             if missing:
                 raise ValueError(f"{op.name} needs the columns {missing}")
-            df = op.transform(df)
+            df = op.applied(df)
         return df
 
     def plan_rows(self, df: DataFrame, todo: str = "todo") -> DataFrame:
-        """Each operator over the rows that ask for it; results of the others are null."""
+        """Each operator over the rows that ask for it or for one that depends on
+        it; results for the others are null. Operators of expressions are columns
+        of one pass. One that works on whole tables gets the rows that ask for it, once,
+        and its results join by ``_row``, so that the plan grows with the operators."""
         checked = validated(df, todo, self.supported)
+        wanted = self.wanted()
         for op in self.ordered(self.supported):
-            asked = F.col(todo).bitwiseAND(op.mid) != 0
-            before = checked.columns
-            ran = op.transform(checked.where(asked))
-            new = [c for c in ran.columns if c not in before]
-            rest = checked.where(~asked)
-            for c in new:
-                rest = rest.withColumn(c, F.lit(None).cast(ran.schema[c].dataType))
-            checked = ran.unionByName(rest)
+            asked = F.col(todo).bitwiseAND(F.lit(wanted[op.mid])) != 0
+            if op.columns is not None:
+                checked = checked.withColumns({k: F.when(asked, c) for k, c in op.columns().items()})
+                continue
+            from lecterna.plans.lineage import written
+
+            base = written(checked.withColumn("_row", F.monotonically_increasing_id()), "rows")
+            ran = op.transform(base.where(asked))
+            new = [c for c in ran.columns if c not in base.columns]
+            checked = base.join(ran.select("_row", *new), "_row", "left").drop("_row")
         return checked
 
+    def wanted(self) -> dict[int, int]:
+        """For each operator the bits that call for it: its own and those of all that depend on it."""
+        out = {m: m for m in self.operators}
+        for op in reversed(self.ordered(self.supported)):
+            for d in op.depends:
+                out[d] |= out[op.mid]
+        return out
+
+    def descriptors(self, spark: SparkSession, model_dir: str = "") -> DataFrame:
+        """The registered operators as descriptors, in dependency order."""
+        rows = [(op.name.lower(), op.mid, f"{model_dir}/{op.name.lower()}", list(op.depends)) for op in self.ordered(self.supported)]
+        return spark.createDataFrame(rows, "name string, mid long, model_path string, depend array<long>")
+
 
 def names(mask: int, bits: dict[str, int] = BITS) -> str:
     """Names of a mask in the order of declaration."""
@@ -150,12 +174,14 @@ def powers(n: Column, largest: int) -> Column:
 
 def depth(spark: SparkSession, deps: Iterable[tuple[int, int]]) -> DataFrame:
     """(mid, depth) of (mid, depends on) pairs: the longest chain below each operator."""
-    spark.createDataFrame(list(deps), "mid long, dep long").createOrReplaceTempView("_deps")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE d(mid, depth) AS (
-            SELECT DISTINCT dep, 0 FROM _deps WHERE dep NOT IN (SELECT mid FROM _deps)
-            UNION ALL SELECT x.mid, d.depth + 1 FROM _deps x JOIN d ON x.dep = d.mid)
-        SELECT mid, max(depth) AS depth FROM d GROUP BY mid""")
+            SELECT DISTINCT dep, 0 FROM {deps} WHERE dep NOT IN (SELECT mid FROM {deps})
+            UNION ALL SELECT x.mid, d.depth + 1 FROM {deps} x JOIN d ON x.dep = d.mid)
+        SELECT mid, max(depth) AS depth FROM d GROUP BY mid""",
+        deps=spark.createDataFrame(list(deps), "mid long, dep long"),
+    )
 
 
 def missing(df: DataFrame) -> DataFrame:
