@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lecterna import catalog as Q
 from lecterna.functions import text as T
 from lecterna.operators import decode
-from lecterna.plans import speech
+from lecterna.plans import speech, vision
 
 query, table = Q.query, Q.table
 
@@ -34,6 +34,19 @@ def registered(spark: SparkSession, d: str) -> DataFrame:
     return speech.registry().descriptors(spark).select("name", "mid", F.size("depend").alias("needs"))
 
 
+@query("""WITH i AS (SELECT p_partkey AS image_id, CAST(1 << CAST(p_partkey % 12 AS INT) AS BIGINT) & 2703 AS todo, 640.0 + p_size * 8 AS w, CAST(length(p_name) * 24 AS DOUBLE) AS h FROM part)
+  SELECT image_id, round(CASE WHEN (todo & 2191) <> 0 THEN least(960 / w, 544 / h) ELSE -1 END, 5) AS act_scale, round(CASE WHEN (todo & 2062) <> 0 THEN least(960 / w, 544 / h) ELSE -1 END, 5) AS face_scale,
+    CAST(CASE WHEN (todo & 4) <> 0 THEN 112 ELSE -1 END AS INT) AS rec_side, CAST(CASE WHEN (todo & 8) <> 0 THEN 192 ELSE -1 END AS INT) AS ori_side, round(CASE WHEN (todo & 512) <> 0 THEN 224 / least(w, h) ELSE -1 END, 5) AS class_scale FROM i""")
+def plan_images(spark: SparkSession, d: str) -> DataFrame:
+    """The frames and crops that the operators asked for each image need."""
+    p = table(spark, d, "part")
+    i = p.select(F.col("p_partkey").alias("image_id"), F.expr("shiftleft(1L, cast(p_partkey % 12 as int)) & 2703L").alias("todo"), (640.0 + F.col("p_size") * 8).alias("width"), (F.length("p_name") * 24).cast("double").alias("height"))
+    got = vision.registry().plan_rows(i)
+    some = lambda c: F.round(F.coalesce(c, F.lit(-1.0)), 5).alias(c)
+    side = lambda c: F.coalesce(c, F.lit(-1)).cast("int").alias(c)
+    return got.select("image_id", some("act_scale"), some("face_scale"), side("rec_side"), side("ori_side"), some("class_scale"))
+
+
 @query("""SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def rollup_totals(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus")

@@ -63,10 +63,37 @@ def words(spark: SparkSession, path: str) -> list[str]:
     return [r["value"].strip() for r in spark.read.text(path).where("trim(value) <> ''").collect()]
 
 
+# The locales that stand in for one without an own table, nearest first.
+FALLBACK = {"zh-cn": ("zh-hans", "zh"), "zh-sg": ("zh-hans", "zh"), "zh-my": ("zh-hans", "zh"), "zh-tw": ("zh-hant", "zh"), "zh-hk": ("zh-hant", "zh"), "zh-mo": ("zh-hk", "zh-hant", "zh"), "zh-hans": ("zh",), "zh-hant": ("zh",)}
+_dictionaries: dict[tuple[str, str], dict[str, str]] = {}
+
+
 def script_dictionary(spark: SparkSession, path: str, locale: str) -> dict[str, str]:
-    """One locale's conversions of a JSON dictionary {locale: {from: to}}."""
-    r = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m")).select(F.col("m")[locale].alias("d")).first()
-    return dict(r["d"] or {})
+    """One locale's conversions of a JSON dictionary {locale: {from: to}}, those of
+    its fallbacks under its own; read once a process."""
+    if (path, locale) not in _dictionaries:
+        r = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m")).first()
+        known = (r and r["m"]) or {}
+        out: dict[str, str] = {}
+        for name in (*reversed(FALLBACK.get(locale, ())), locale):
+            out |= known.get(name) or {}
+        _dictionaries[path, locale] = out
+    return _dictionaries[path, locale]
+
+
+def pipe_settings(spark: SparkSession, path: str):  # noqa: ANN201
+    """Queue and thread settings of a YAML file, with defaults for what it lacks."""
+    from lecterna.plans.service import Settings
+
+    r = spark.read.text(path, wholetext=True).first()
+    return Settings.read(r["value"] if r else "")
+
+
+def convert_files(spark: SparkSession, source: str, target: str, table: dict[str, str]) -> None:
+    """Text files converted line by line into another script."""
+    from lecterna.functions.scripts import converted
+
+    spark.read.text(source).select(converted(F.col("value"), table).alias("value")).write.mode("overwrite").text(target)
 
 
 def features(spark: SparkSession, path: str, dim: int = 192) -> DataFrame:

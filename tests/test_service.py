@@ -197,3 +197,48 @@ def test_edit_similarity_in_all_languages(spark):
     one = spark.createDataFrame([(["ab", "cd", "好", "x", None, ""], "a...b--")], "w array<string>, t string")
     r = one.select(joined_plain(F.col("w")).alias("j"), symbols(F.col("t"), ["...", "--"]).alias("s"), looked_up(F.lit("k"), {"k": 3}, 0).alias("l"), looked_up(F.lit("z"), {"k": 3}, 0).alias("m")).first()
     assert r["j"] == "ab cd好x" and r["s"] == ["a", "...", "b", "--"] and (r["l"], r["m"]) == (3, 0)
+
+
+def test_scripts_of_a_locale(spark, tmp_path):
+    import json
+
+    from lecterna.sources import files
+
+    (tmp_path / "d.json").write_text(json.dumps({"zh-hant": {"门": "門"}, "zh-hk": {"里": "裏"}}))
+    got = files.script_dictionary(spark, str(tmp_path / "d.json"), "zh-hk")
+    assert got == {"门": "門", "里": "裏"} and files.script_dictionary(spark, str(tmp_path / "d.json"), "zh-hk") is got and files.script_dictionary(spark, str(tmp_path / "d.json"), "xx") == {}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("门里\n好\n")
+    files.convert_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), got)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["好", "門裏"]
+    (tmp_path / "p.yaml").write_text("queue: 7\n")
+    assert files.pipe_settings(spark, str(tmp_path / "p.yaml")).queue == 7
+
+
+def test_marks_and_roles_at_edges():
+    assert S.reversed_rtl("abc") == "abc" and S.reversed_rtl("אב 12") == " 12בא"
+    assert S.smoothed([0, 1, 0, 0], [False, True, False, False])[1] == 0
+    assert S.shifted_marks(["a", "b", "c"], [1, 2, 1], [0.0, 0.0, 0.5], [False, True, False]) != [1, 2, 1]
+
+
+def test_punctuation_and_merging_streams(spark, tmp_path):
+    from lecterna.streaming import speech as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    score = lambda ts: [3 if t == "." else 1 for t in ts]
+    tokens = [(1, i, t, i == 8) for i, t in enumerate(["a", "b", ".", "c", "d", "e", ".", "f", "g"])]
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    schema = "stream_id long, pos long, token string, last boolean"
+    for part in (tokens[:4], tokens[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    got = run(audio.punctuate_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t")), score, chunk=3, trigger=50), "marks", "append")
+    assert [(r["token"], r["mark"]) for r in sorted(got, key=lambda r: r["pos"])] == [(t, 3 if t == "." else 1) for _, _, t, _ in tokens[:-1]] + [("g", 3)]
+    segs = [(1, 0, 1000), (1, 1500, 4000), (1, 9000, 9500), (1, None, None)]
+    spark.createDataFrame(segs, "stream_id long, begin_ms long, end_ms long").coalesce(1).write.parquet(str(tmp_path / "s"))
+    got = run(stream.merge_stream(spark.readStream.schema("stream_id long, begin_ms long, end_ms long").parquet(str(tmp_path / "s"))), "merged", "append")
+    assert sorted((r["begin_ms"], r["end_ms"]) for r in got) == [(0, 4000), (9000, 9500)]
