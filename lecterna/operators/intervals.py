@@ -167,11 +167,6 @@ def stacked(x: Column, m: int, n: int) -> Column:
     return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: at(i * n + k - left + 1))))
 
 
-def session_frames(df: DataFrame, key: str, time: str, size: str, slide: str) -> DataFrame:
-    """Rows counted in sliding windows of time."""
-    return df.groupBy(key, F.window(time, size, slide)).count()
-
-
 def capped_stamps(stamps: Column, cap: Column) -> Column:
     """Token times whose ends are at most ``cap`` behind their begins."""
     return F.transform(stamps, lambda s: F.struct(s["b"].alias("b"), F.least(s["e"], s["b"] + cap).alias("e")))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lecterna.functions import sequences as S
 from lecterna.functions import text as T
-from lecterna.functions.itn import written
 from lecterna.operators.ordered import running
 from lecterna.plans import lineage
 
@@ -164,7 +163,3 @@ def report(hyp_a: DataFrame, hyp_b: DataFrame, roles: DataFrame, *, compat: bool
     t = lineage.written(t, "tokens")  # and this one several times
     s = role_overrides(sentences(t))
     return s, statistics(s, t)
-
-
-def to_digits(line: str | None) -> str | None:
-    return written(line)

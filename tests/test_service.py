@@ -242,3 +242,28 @@ def test_punctuation_and_merging_streams(spark, tmp_path):
     spark.createDataFrame(segs, "stream_id long, begin_ms long, end_ms long").coalesce(1).write.parquet(str(tmp_path / "s"))
     got = run(stream.merge_stream(spark.readStream.schema("stream_id long, begin_ms long, end_ms long").parquet(str(tmp_path / "s"))), "merged", "append")
     assert sorted((r["begin_ms"], r["end_ms"]) for r in got) == [(0, 4000), (9000, 9500)]
+
+
+def test_backends_are_dealt_by_ratio(spark):
+    from lecterna.plans.registry import backend
+
+    got = backend(spark.range(3000), ["id"], [1.0, 2.0]).groupBy("backend").count().collect()
+    n = {r["backend"]: r["count"] for r in got}
+    assert set(n) == {0, 1} and 1.7 < n[0] / n[1] < 2.3
+
+
+def test_one_second_slices():
+    got = signal.slices_4class(np.arange(16000 * 3 + 100, dtype=float))
+    assert [b.shape for b in got] == [(4, 32240)] and got[0][1][0] == 16000 and got[0][3][100] == 48000
+
+
+def test_cluster_rows_and_late_windows(spark, tmp_path):
+    from lecterna.sources import files
+    from lecterna.streaming import speech as stream
+
+    (tmp_path / "m.txt").write_text("a\nb\na\n\n")
+    assert {r["label"]: r["rows"] for r in files.cluster_meta(spark, str(tmp_path / "m.txt"), 10).collect()} == {"a": [10, 12], "b": [11]}
+    rows = spark.sql("select 1L as stream_id, timestamp_seconds(s) as at from values (0), (1), (7), (13) as t(s)")
+    tumbling = {r["window"]["start"].second: r["count"] for r in stream.windowed(rows, "at").collect()}
+    sliding = stream.windowed(rows, "at", size="12 seconds", slide="6 seconds").collect()
+    assert tumbling == {0: 2, 6: 1, 12: 1} and sum(r["count"] for r in sliding) == 8
